@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import packing, records
+from kinfold.llm import jaccard, mixing, packing, records, sketch, warc
 from kinfold.llm.tokens import default_path
 
 
@@ -17,15 +17,37 @@ def op2_pack_gga(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_path())
 
 
+def op3_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
+    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = records.write(table(spark, sf_dir, "documents"), None, default_path())
     return records.read(spark, manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op9_bottomk_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_pack_gga": op2_pack_gga,
+    "op3_mix_curriculum": op3_mix_curriculum,
+    "op5_warc_salvage": op5_warc_salvage,
     "op6_token_records": op6_token_records,
+    "op9_bottomk_sketch": op9_bottomk_sketch,
+    "op10_jaccard_trees": op10_jaccard_trees,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mix_curriculum": mixing.SQL}

@@ -170,7 +170,7 @@ def write(pages: DataFrame, path: str | None = None, key: str = "page_id", url:
                 page, link, text, refers = (batch.column(c)[i].as_py() for c in range(4))
                 if out is None:
                     done.append(f"{name}-{len(done):04d}.warc.gz")
-                    out, size = files.open_output_stream(f"{base}/{done[-1]}"), 0
+                    out, size = files.open_output_stream(f"{base}/{done[-1]}", compression=None), 0
                 data = compose(page, link, (text or "").encode(), refers, date)
                 out.write(data)
                 size += len(data)

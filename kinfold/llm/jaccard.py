@@ -59,7 +59,7 @@ def needed(n: int) -> int:
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted 64-bit hashes of each text's set."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    split = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts).cast(pa.large_string()), ""))
     coded = split.values.dictionary_encode()
     names = coded.dictionary.to_numpy(zero_copy_only=False)
     hashes = pd.util.hash_array(names, categorize=False) if len(names) else np.zeros(0, np.uint64)

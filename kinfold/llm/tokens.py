@@ -158,5 +158,7 @@ def text_runs(batch: pa.RecordBatch, column: str = "text", most: int = 24_000_00
     at, ends = 0, np.cumsum(sizes, dtype=np.int64)
     while at < len(sizes):
         stop = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
-        yield at, batch.slice(at, stop - at)
+        part = batch.slice(at, stop - at)
+        # taken rows are copied: some of Arrow's string functions misread slices
+        yield at, part.take(pa.array(np.arange(len(part)))) if len(part) < len(batch) else part
         at = stop

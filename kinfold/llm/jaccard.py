@@ -44,6 +44,8 @@ MOST = 1_500
 LEAF = 8
 #: Keys that one bucket of the routing step gets.
 BUCKET_KEYS = 1_000_000
+#: Bytes of text that a task turns into sets at a time.
+RUN = 6_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -249,7 +251,7 @@ def frequent(docs: DataFrame) -> dict[int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, rows in text_runs(batch):
+            for _, rows in text_runs(batch, most=RUN):
                 h, c = np.unique(np.concatenate(shingle_sets(rows.column("text"))), return_counts=True)
                 h, c = h[c > 1], c[c > 1]
                 if len(h) > FREQUENT_OF_BATCH:
@@ -270,7 +272,7 @@ def features(docs: DataFrame, often: dict[int, int]) -> DataFrame:
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
         for batch in batches:
-            for _, rows in text_runs(batch):
+            for _, rows in text_runs(batch, most=RUN):
                 n, cls, bits, keys = [], [], [], []
                 for s in shingle_sets(rows.column("text")):
                     n.append(len(s))
@@ -412,7 +414,7 @@ def _sets_of(docs: DataFrame) -> DataFrame:
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, rows in text_runs(batch):
+            for _, rows in text_runs(batch, most=RUN):
                 sets = [s.tobytes() for s in shingle_sets(rows.column("text"))]
                 cls = pa.array([int(np.uint64(xxhash.xxh3_64_intdigest(s)).view(np.int64)) for s in sets], pa.int64())
                 out = pa.RecordBatch.from_arrays([rows.column("cls"), rows.column("block"), pa.array(sets, pa.binary())], ["cls", "block", "s"])

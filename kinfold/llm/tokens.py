@@ -152,7 +152,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def text_runs(batch: pa.RecordBatch, column: str = "text", most: int = 24_000_000):
+def text_runs(batch: pa.RecordBatch, column: str = "text", most: int = 12_000_000):
     """(first row, slice) runs of a batch whose texts hold `most` bytes at most, or one text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, ends = 0, np.cumsum(sizes, dtype=np.int64)

@@ -223,7 +223,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
         return pa.table(out, pa.schema([("query_id", pa.int64()), ("vid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())]))
 
     wave = lambda c: F.pmod(F.xxhash64(c), F.lit(waves))
-    indexed = base.mapInArrow(index, "block long, leaf long, vid long, ids array<long>, vec array<double>").withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))).cast("long"))
+    indexed = base.mapInArrow(index, "block long, leaf long, vid long, ids array<long>, vec array<double>").withColumn("wave", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(waves - 1).cast("long"))))
     asked = queries.mapInArrow(ask, "block long, query_id long, qvec array<double>, leaves array<long>").withColumn("wave", wave("query_id"))
     near = asked.groupBy("block", "wave").cogroup(indexed.groupBy("block", "wave")).applyInArrow(rerank, "query_id long, vid long, ids array<long>, score double")
     near = near.groupBy("query_id", "vid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))

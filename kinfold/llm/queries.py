@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import ann, attribution, jaccard, mixing, packing, records, sketch, toxicity, warc
+from kinfold.llm import ann, attribution, jaccard, lm, mixing, packing, records, sketch, toxicity, warc
 from kinfold.llm.tokens import default_path
 
 
@@ -40,6 +40,11 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(spark, manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows whose labels are not learnt from."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -70,6 +75,7 @@ QUERIES = {
     "op4_token_attribution": op4_token_attribution,
     "op5_warc_salvage": op5_warc_salvage,
     "op6_token_records": op6_token_records,
+    "op7_pseudo_likelihood": op7_pseudo_likelihood,
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_bottomk_sketch": op9_bottomk_sketch,
     "op10_jaccard_trees": op10_jaccard_trees,

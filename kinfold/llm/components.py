@@ -11,7 +11,7 @@ from kinfold.llm.common import save
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -21,17 +21,22 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most and no node has edges both up and down."""
+    down = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = down.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    seen = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return seen.where((F.col("down") > 1) | (F.col("down") > 0) & (F.col("up") > 0)).limit(1).count() == 0
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """`edges` (a, b: long) to node, root: the smallest node of its component. Loops and repeats do no harm; nodes
     without an edge to another node do not appear."""
     now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
     for _ in range(most_rounds):
-        now = save(_small(_large(now)), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if _settled(now):
             break
-        seen = state
+        now = save(_small(_large(now)), "edges")
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -21,7 +21,7 @@ that is not null, else null. An empty table gives no rows. Columns other than ke
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -401,10 +401,7 @@ def narrow(members: DataFrame) -> DataFrame:
                 small, big = np.minimum(n[p[part]], n[q[part]]), np.maximum(n[p[part]], n[q[part]])
                 keep[part] = (5 * small >= 4 * big) & (9 * most >= 4 * (small + big))
         names, place = np.unique(cls, return_inverse=True)
-        union = Union(len(names))
-        edges = [(i, j) for i, j in zip(place[p[keep]].tolist(), place[q[keep]].tolist(), strict=True) if union.join(i, j)]
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        return pa.table({"a": names[e[:, 0]], "b": names[e[:, 1]]})
+        return _stars(names, zip(place[p[keep]].tolist(), place[q[keep]].tolist(), strict=True))
 
     return members.groupBy("block").applyInArrow(block, "a long, b long")
 
@@ -423,9 +420,16 @@ def _sets_of(docs: DataFrame) -> DataFrame:
     return docs.select("text", "cls", "block").mapInArrow(own, "cls long, block long, s binary")
 
 
-def _edges(cls: np.ndarray, found: list[tuple[int, int]]) -> pa.Table:
-    e = np.array(found, np.int64).reshape(-1, 2)
-    return pa.table({"a": cls[e[:, 0]], "b": cls[e[:, 1]]})
+def _stars(cls: np.ndarray, found: Iterable[tuple[int, int]]) -> pa.Table:
+    """An edge from each class that the links connect to the smallest one that it is connected with."""
+    union = Union(len(cls))
+    for i, j in found:
+        union.join(i, j)
+    roots = union.roots()
+    least = cls.copy()
+    np.minimum.at(least, roots, cls)
+    moved = np.flatnonzero(least[roots] != cls)
+    return pa.table({"a": cls[moved], "b": least[roots[moved]]})
 
 
 def _load(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -433,13 +437,13 @@ def _load(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _within(table: pa.Table) -> pa.Table:
-    """Links within each block of the rows."""
+    """From each class that links to others in its block, an edge to the smallest class that links reach there."""
     out = []
     blocks = table.column("block").to_numpy()
     order = np.argsort(blocks, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
         cls, sets = _load(table.take(pa.array(at)))
-        out.append(_edges(cls, join_sets(sets)))
+        out.append(_stars(cls, join_sets(sets)))
     return pa.concat_tables(out)
 
 
@@ -449,50 +453,49 @@ def _across(table: pa.Table) -> pa.Table:
     label, loose = table.column("label").to_numpy(), table.column("loose").to_numpy(zero_copy_only=False)
     a, b = np.flatnonzero(loose), np.flatnonzero(~loose)
     if not len(a) or not len(b):
-        return _edges(cls, [])
+        return _stars(cls, [])
     found = join_sets([sets[i] for i in a], [sets[i] for i in b], label[a], label[b])
-    return _edges(cls[np.concatenate([a, b])], found)
-
-
-def _labels(sets: DataFrame, edges: DataFrame) -> DataFrame:
-    roots = components(edges)
-    return sets.join(roots, sets["cls"] == roots["node"], "left").select("block", "cls", F.coalesce("root", "cls").alias("label"))
-
-
-def join_large(sets: DataFrame, most: int = MOST) -> DataFrame:
-    """Edges that connect the classes of each block (block, cls, s) whatever its size."""
-    spark = sets.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    active, before = sets.select("block", "cls"), -1
-    for turn in range(20):
-        sizes = active.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-        part = F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("size") / most))
-        dealt = sets.join(active.join(sizes, "block").withColumn("part", part).drop("block", "size"), "cls")
-        found = dealt.withColumn("own", F.xxhash64("block", "part")).groupBy("own").applyInArrow(_within, "a long, b long")
-        edges = save(edges.unionByName(found), "large-edges")
-        label = save(_labels(sets.select("block", "cls"), edges), "large-labels")
-        heads = label.groupBy("block", "label").agg(F.min("cls").alias("cls"))
-        active = save(heads.select("block", "cls"), "large-heads")
-        n = active.count()
-        whole = sizes.agg(F.max("size")).first()[0]
-        if n == before or (whole is None or whole <= most):
+    return _stars(cls[np.concatenate([a, b])], found)
+
+
+def join_large(sets: DataFrame, most: int = MOST, most_turns: int = 20) -> DataFrame:
+    """cls, label of the classes of blocks (block, cls, s) of any size; classes that links connect have equal labels.
+
+    A block is cut into parts, each compared in whole; then the smallest class of each component found stands for it, and
+    the same is done with these until they fit one part. A link can now be missing only where it has an end outside its
+    block's largest component: those classes are compared with all of the block.
+    """
+    label = sets.select("block", "cls", F.col("cls").alias("label"))
+    heads, before = sets.select("block", "cls"), -1
+    for turn in range(most_turns):
+        sizes = heads.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
+        part = F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("size") / most)).alias("part")
+        dealt = heads.join(sizes, "block").select(F.col("cls").alias("c"), F.xxhash64("block", part).alias("own"), "size")
+        rows = sets.join(dealt, sets["cls"] == dealt["c"]).drop("c")
+        stars = save(rows.select("own", "block", "cls", "s").groupBy("own").applyInArrow(_within, "a long, b long"), "large-stars")
+        label = save(label.join(stars, label["label"] == stars["a"], "left").select("block", "cls", F.coalesce("b", "label").alias("label")), "large-labels")
+        whole = sizes.agg(F.max("size")).first()[0] or 0
+        heads = label.select("block", F.col("label").alias("cls")).distinct()
+        n = heads.count()
+        if whole <= most or n == before:
             break
         before = n
-    # what is outside a block's largest component, against the whole block
     count = label.groupBy("block", "label").agg(F.count(F.lit(1)).alias("size"))
-    top = count.groupBy("block").agg(F.max(F.struct("size", "label")).alias("top")).select("block", F.col("top.label").alias("main"))
-    loose = label.join(top, "block").where("label <> main").drop("main")
-    loose = save(loose, "large-loose")
-    if loose.isEmpty():
-        return edges
-    parts = loose.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / most).alias("loose_parts"))
-    whole = label.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
-    grid = parts.join(whole, "block")
-    lone = loose.join(grid, "block").withColumns({"x": F.pmod(F.xxhash64("cls"), F.col("loose_parts")), "y": F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))}).withColumn("loose", F.lit(True))
-    rest = label.join(grid, "block").withColumns({"y": F.pmod(F.xxhash64("cls", F.lit(7)), F.col("parts")), "x": F.explode(F.sequence(F.lit(0).cast("long"), F.col("loose_parts") - 1))}).withColumn("loose", F.lit(False))
-    cols = ["cls", "label", "loose", F.xxhash64("block", "x", "y").alias("own")]
-    pairs = sets.select("cls", "s").join(lone.select(*cols).unionByName(rest.select(*cols)), "cls")
-    return edges.unionByName(pairs.groupBy("own").applyInArrow(_across, "a long, b long"))
+    top = count.groupBy("block").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("n")).select("block", F.col("top.label").alias("main"), (F.col("n") - F.col("top.size")).alias("n_loose"), F.ceil(F.col("n") / most).alias("parts"))
+    top = top.where("n_loose > 0").select("block", "main", "parts", F.ceil(F.col("n_loose") / most).alias("loose_parts"))
+    placed = save(label.join(top, "block").withColumn("loose", F.col("label") != F.col("main")), "large-placed")
+    if placed.isEmpty():
+        return label.select("cls", "label")
+    # a grid of tasks: each part of the loose classes with each part of all of the block's
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    cell = lambda rows, loose: rows.select("cls", "label", F.lit(loose).alias("loose"), F.xxhash64("block", "x", "y").alias("own"))
+    lone = cell(placed.where("loose").select("*", F.pmod(F.xxhash64("cls"), "loose_parts").alias("x"), F.explode(upto("parts")).alias("y")), True)
+    rest = cell(placed.select("*", F.pmod(F.xxhash64("cls", F.lit(7)), "parts").alias("y"), F.explode(upto("loose_parts")).alias("x")), False)
+    pairs = sets.select("cls", "s").join(lone.unionByName(rest), "cls")
+    found = pairs.groupBy("own").applyInArrow(_across, "a long, b long")
+    known = label.where("cls <> label").select(F.col("cls").alias("a"), F.col("label").alias("b"))
+    roots = components(known.unionByName(found))
+    return label.select("cls").join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("label"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
@@ -518,10 +521,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = M
     large = sizes.where(F.col("size") > most).select("block")
     n_tasks = max(1, int(sets.count() // 2_000) + 1)
     small = sets.join(large, "block", "left_anti").withColumn("own", F.pmod(F.xxhash64("block"), F.lit(n_tasks)))
-    edges = small.groupBy("own").applyInArrow(_within, "a long, b long")
+    roots = save(small.groupBy("own").applyInArrow(_within, "a long, b long"), "stars").withColumnsRenamed({"a": "node", "b": "root"})
     if not large.isEmpty():
-        edges = edges.unionByName(join_large(save(sets.join(large, "block", "left_semi"), "large"), most))
-    roots = components(edges)
+        roots = roots.unionByName(join_large(save(sets.join(large, "block", "left_semi"), "large"), most).toDF("node", "root"))
     labelled = kinds.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component"))
     named = labelled.join(least, "root").select("cls", "component")

@@ -105,8 +105,7 @@ def jaro_winkler_one(a: bytes, b: bytes) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-@F.pandas_udf("double")
-def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+def _jaro_winkler_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict[tuple[str, str], float] = {}
 
     def one(pair: tuple) -> float:
@@ -119,7 +118,7 @@ def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Equal strings are decided in the JVM; only the others cross to Python, in Arrow batches."""
-    return F.when(a == b, F.lit(1.0)).otherwise(_jaro_winkler(a, b))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.pandas_udf(_jaro_winkler_batch, "double")(a, b))
 
 
 def ssn_hash(ssn: Column, key: str) -> Column:

@@ -77,9 +77,9 @@ def fill_keys(identities: DataFrame, links: DataFrame, people: DataFrame) -> Dat
     return joined.select("identity_id", *[F.coalesce(c, f"_{c}").alias(c) for c in FILLED], "canonical_suffix", "confidence")
 
 
-def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame | None = None, links: DataFrame | None = None, batch: int = 0, blocked: DataFrame | None = None, residual: bool = True) -> Resolved:
-    """Links and identities for the staged people that have no link yet; those given stay. With `residual`, people whom no
-    tier links get an identity each."""
+def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame | None = None, links: DataFrame | None = None, batch: int = 0, blocked: DataFrame | None = None, create: bool = True) -> Resolved:
+    """Links and identities for the staged people that have no link yet; those given stay. Without `create`, people are only
+    linked to identities that there are."""
     blocked = save(blocked if blocked is not None else blocklist(staged, config), "blocked")
     people = staged_keys(staged, blocked)
     if links is not None:
@@ -95,6 +95,8 @@ def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame |
         # one shuffle by the key serves the founders, the lookup and the link
         founders = here.groupBy(key).agg(F.min("stg_person_id").alias("stg_person_id")).join(known, key, "left_anti")
         base = (batch * 16 + ordinal) * SPAN
+        if not create:
+            founders = founders.limit(0)
         found = founders.withColumn("identity_id", F.col("stg_person_id") + F.lit(base))
         now = save(_link(here.join(known.unionByName(found.select(key, "identity_id")), key), tier, config), "links")
         seeds = found.select("stg_person_id", "identity_id").join(people, "stg_person_id")
@@ -102,7 +104,7 @@ def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame |
         made = made.unionByName(now)
         held = save(fill_keys(held, made, people), "identities")
         open_ = save(open_.join(now.select("stg_person_id"), "stg_person_id", "left_anti"), "open")
-    if residual:
+    if create:
         alone = open_.withColumn("identity_id", F.col("stg_person_id") + F.lit((batch * 16 + TIER_NAMES.index("new")) * SPAN))
         held = held.unionByName(_identity(alone, F.col("identity_id"), config.confidence("new")))
         made = made.unionByName(_link(alone, "new", config))

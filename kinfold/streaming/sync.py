@@ -1,7 +1,7 @@
 """Incremental resolution: changed source records, batch by batch or as a stream.
 
-A batch resolves new people against the hub by the deterministic tiers, then by probabilistic matching, and gives an
-identity each to those left. Changed people keep their links; their staged row and children are replaced. Profiles of
+A batch links new people to the hub's identities by the deterministic tiers, then by probabilistic matching, and makes
+identities for those left by the tiers among themselves. Changed people keep their links; their staged row and children are replaced. Profiles of
 touched identities are rebuilt. Batches of ids keep older identities' ids the smaller ones.
 """
 
@@ -12,13 +12,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.config import TIER_NAMES, ResolutionConfig
+from kinfold.config import ResolutionConfig
 from kinfold.operators import enrich, materialize, probabilistic, resolve, rollup, survivorship
 from kinfold.plans.pipeline import Hub, rebuild_profiles
 from kinfold.store import Store, delete_keys, newest, save
 
-LOG = "stg_person_id long, identity_id long, action string, score decimal(5,4)"
-
 
 def changed(people: DataFrame, high_water) -> DataFrame:
     """Staged records modified after the watermark, strictly."""
@@ -29,32 +27,24 @@ def apply_batch(hub: Hub, people: DataFrame, batch: int, connector=None, config:
     """The hub after a batch of staged people, and the log of matches to review. Of several rows of a record the newest
     counts. Applying a batch again changes nothing."""
     config = config or ResolutionConfig()
-    spark = people.sparkSession
     people = save(newest(people, ["stg_person_id"], [F.col("source_modified").desc_nulls_last()]), "batch")
     staged = save(delete_keys(hub.staged, people, ["stg_person_id"]).unionByName(people), "staged")
     new = people.join(hub.links.select("stg_person_id"), "stg_person_id", "left_anti")
     own = [c for c in hub.identities.columns if c != "record_count"]
     known = hub.identities.select(*own)
-    first = resolve.resolve(new, config, known, hub.links, batch, hub.blocked, residual=False)
+    first = resolve.resolve(new, config, known, hub.links, batch, hub.blocked, create=False)
     links, identities = save(first.links, "links"), save(first.identities, "identities")
     open_ = save(new.join(links.select("stg_person_id"), "stg_person_id", "left_anti"), "open")
     matched = save(probabilistic.match(open_, staged, links, identities, hub.addresses, hub.exclusions, config), "matched")
-    bound = matched.where("band <> 'no_match'")
-    rows = open_.join(bound.select("stg_person_id", "identity_id", "score", "band"), "stg_person_id", "left")
-    identity = F.coalesce("identity_id", F.col("stg_person_id") + F.lit((batch * 16 + TIER_NAMES.index("new")) * resolve.SPAN))
-    by_score = F.col("score").isNotNull()
-    fresh = rows.select(
-        F.col("stg_person_id").alias("link_id"), identity.alias("identity_id"), "system_id", "source_table", "source_id", "account_id", "stg_person_id",
-        F.when(by_score, "probabilistic").otherwise("deterministic").alias("match_method"), F.when(by_score, "pass_b").otherwise("new").alias("match_key"),
-        F.coalesce("score", F.lit(1.0).cast("decimal(5,4)")).cast("decimal(5,4)").alias("match_score"), F.coalesce("band", F.lit("auto_match")).alias("match_state"), F.lit(0).alias("is_pinned"),
-    )
-    fresh = save(fresh, "fresh")
-    founders = resolve._identity(rows.where(~by_score).withColumn("identity_id", identity), F.col("identity_id"), 1.0)
-    links = save(links.unionByName(fresh), "links")
-    identities = identities.unionByName(founders)
+    bound = open_.join(matched.where("band <> 'no_match'").select("stg_person_id", "identity_id", "score", "band"), "stg_person_id")
+    bound = save(bound.select(
+        F.col("stg_person_id").alias("link_id"), "identity_id", "system_id", "source_table", "source_id", "account_id", "stg_person_id", F.lit("probabilistic").alias("match_method"),
+        F.lit("pass_b").alias("match_key"), F.col("score").alias("match_score"), F.col("band").alias("match_state"), F.lit(0).alias("is_pinned"),
+    ), "bound")
     # automatic matches bring their keys; matches to review do not
-    auto = fresh.where("match_state = 'auto_match'")
-    identities = save(resolve.fill_keys(identities, auto, people), "identities")
+    identities = save(resolve.fill_keys(identities, bound.where("match_state = 'auto_match'"), people), "identities")
+    rest = resolve.resolve(new, config, identities, save(links.unionByName(bound), "links"), batch, hub.blocked)
+    links, identities = save(rest.links, "links"), save(rest.identities, "identities")
     touched = save(links.join(people.select("stg_person_id"), "stg_person_id", "left_semi").select("identity_id").distinct(), "touched")
     of = links.join(touched, "identity_id", "left_semi")
     part = replace(hub, staged=staged, links=links, identities=identities)
@@ -74,7 +64,7 @@ def apply_batch(hub: Hub, people: DataFrame, batch: int, connector=None, config:
     names = materialize.alias_index(staged, of)
     aliases = delete_keys(hub.aliases, touched, ["identity_id"]).unionByName(names) if hub.aliases is not None else names
     log = matched.where("band = 'review'").select("stg_person_id", "identity_id", F.lit("relink").alias("action"), "score")
-    return replace(part, profiles=save(profiles, "profiles"), aliases=save(aliases, "aliases")), save(log if log is not None else spark.createDataFrame([], LOG), "log")
+    return replace(part, profiles=save(profiles, "profiles"), aliases=save(aliases, "aliases")), save(log, "log")
 
 
 def sync(store: Store, connector, config: ResolutionConfig | None = None, built_at: str | None = None) -> Hub:

@@ -36,7 +36,9 @@ SIDE = 2
 MASK = 8
 ROUNDS = 2
 RATE = 0.05
-BATCH = 2048
+BATCH = 512
+#: Added to each bucket's count.
+SMOOTH = 0.1
 RUN = 4_000_000
 SEED = 11
 
@@ -58,7 +60,7 @@ class Vocabulary:
     """Ids, classes and in-class log-probabilities of buckets, from their counts."""
 
     def __init__(self, counts: np.ndarray):
-        smooth = counts + 1.0
+        smooth = counts + SMOOTH
         order = np.argsort(-smooth, kind="stable")
         self.ids = (OWN + np.arange(BUCKETS) % SHARED).astype(np.int64)
         self.ids[order[:OWN]] = np.arange(OWN)
@@ -180,7 +182,7 @@ def count_words(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Scorer:
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_size: int = BATCH) -> Scorer:
     """Fit to all documents. The driver holds counts and weights only, of fixed size."""
     spark = docs.sparkSession
     vocabulary = Vocabulary(count_words(docs, text))
@@ -204,8 +206,8 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Scorer:
                     chosen = np.flatnonzero((bucket * 31 + place * 17 + turn * 7) % MASK == 0)
                     around, target = window(v.ids[bucket], at)[chosen], v.classes[bucket[chosen]]
                     order = np.random.default_rng(SEED + len(chosen)).permutation(len(chosen))
-                    for a in range(0, len(order), BATCH):
-                        net.step(around[order[a : a + BATCH]], target[order[a : a + BATCH]], squares)
+                    for a in range(0, len(order), batch_size):
+                        net.step(around[order[a : a + batch_size]], target[order[a : a + batch_size]], squares)
                     seen += len(chosen)
             flat = net.flat() * np.float32(seen)
             cut = np.arange(0, size, chunk)

@@ -15,9 +15,13 @@ from kinfold.config import PLACEHOLDER_SSNS
 NO_LETTERS = "0000"
 
 
+#: White space and NUL, as the trimming of source values takes them.
+BLANKS = " \t\n\r\x0b\x0c\x00"
+
+
 def clean(c: Column) -> Column:
     """Trim blanks, line ends, tabs and NULs; nothing left is null."""
-    return F.nullif(F.regexp_replace(c.cast("string"), r"^[\s\x00]+|[\s\x00]+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c.cast("string"), F.lit(BLANKS)), F.lit(""))
 
 
 def clean_date(c: Column) -> Column:

@@ -14,8 +14,8 @@ PLACEHOLDER_SSNS = (
     "123456789", "987654321", "012345678",
 )
 
-# Systems that outrank all others for identity fields, best first.
-AUTHORITY = ("verified", "nppes", "streamline_local", "state_license", "scraped_license")
+# Systems that outrank all others for identity fields, best first; `local_employees` stands for the site's own system.
+AUTHORITY = ("verified", "nppes", "local_employees", "state_license", "scraped_license")
 
 # Status codes of credential matches.
 QUALIFYING_CODES = (20, 30, 40, 45, 65, 70, 80, 85, 90)

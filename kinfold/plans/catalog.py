@@ -165,7 +165,7 @@ def profile_nested_json(spark, d):
     return _profiles(spark, d).select("identity_id", *[materialize.as_json(c).alias(c) for c in ("licenses", "identifiers", "exclusions", "accounts", "aliases")])
 
 
-def golden_profile(spark, d):
+def wide_profile(spark, d):
     return _hub(spark, d, "final").profiles
 
 
@@ -346,7 +346,7 @@ ORACLES: dict[str, str] = {
     "rollup_exclusions": _RES + " SELECT * FROM rexclusion",
     "survivorship_winner": _RES + " SELECT identity_id, field, value, link_id FROM ranked WHERE rn = 1",
     "attribute_provenance": _RES + " SELECT identity_id, field, left(value, 255) AS value, link_id, CAST(rn = 1 AS INT) AS is_winner FROM ranked",
-    "survivorship_audit": _RES + " SELECT identity_id, field, left(value, 500) AS winning_value, link_id AS winning_link_id, 'authority[streamline_local] + recency' AS rule FROM ranked WHERE rn = 1",
+    "survivorship_audit": _RES + " SELECT identity_id, field, left(value, 500) AS winning_value, link_id AS winning_link_id, 'authority[local_employees] + recency' AS rule FROM ranked WHERE rn = 1",
     "profile_counts_flags": _RES
     + " SELECT i.identity_id, coalesce(a.n, 0) AS license_count, coalesce(b.n, 0) AS identifier_count, coalesce(c.n, 0) AS address_count, coalesce(d.n, 0) AS credential_count, coalesce(e.n, 0) AS exclusion_count, CAST(0 AS BIGINT) AS board_action_count, CAST(0 AS BIGINT) AS resolution_count, f.n AS record_count, coalesce(g.n, 0) AS account_count, CAST(1 AS BIGINT) AS system_count, CASE WHEN e.n > 0 THEN 1 ELSE 0 END AS has_active_exclusion FROM identity i"
     + "".join(f" LEFT JOIN {_COUNT(t, x)} ON {x}.identity_id = i.identity_id" for t, x in (("rlicense", "a"), ("ridentifier", "b"), ("raddress", "c"), ("rcredential", "d"), ("rexclusion", "e"), ("link", "f")))
@@ -371,7 +371,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         for f in (
             identity_links_full, links_per_identity, identity_keys, enrich_license, enrich_address, enrich_identifier, dedup_by_upin, dedup_by_name_dob, dedup_by_license, dedup_fixed_point,
             rollup_credentials, rollup_exclusions, survivorship_winner, attribute_provenance, survivorship_audit, profile_counts_flags, profile_primary_address, profile_terminated_ssn4, profile_nested_json,
-            golden_profile, alias_index, alias_coverage, identity_search_page, search_omitted_fields, credential_search_best, block_candidates, hard_no_filter, score_bands, incremental_since_watermark,
+            wide_profile, alias_index, alias_coverage, identity_search_page, search_omitted_fields, credential_search_best, block_candidates, hard_no_filter, score_bands, incremental_since_watermark,
             incremental_batch, resolution_quality,
         )
     },

@@ -71,7 +71,7 @@ RECORDS = "SELECT DISTINCT user_id % 120 AS id, concat('EX', CAST((user_id % 120
 class OrdersConnector:
     """The synthetic source over a folder of tables."""
 
-    system_code, reliability_rank, source_table = "streamline_local", 50, "employees"
+    system_code, reliability_rank, source_table = "local_employees", 50, "employees"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder

@@ -155,7 +155,7 @@ def test_block_cap(spark):
 
 
 def systems(spark):
-    return spark.createDataFrame([(1, "streamline_local", 50), (2, "verified", 10), (3, "other", 97)], "system_id int, system_code string, reliability_rank int")
+    return spark.createDataFrame([(1, "local_employees", 50), (2, "verified", 10), (3, "other", 97)], "system_id int, system_code string, reliability_rank int")
 
 
 def test_survivorship_order(spark):

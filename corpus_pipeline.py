@@ -18,8 +18,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold calibrated for their language. A document without a language has the
     general threshold."""
     model = toxicity_model(spark, sf_dir, docs)
-    scored = toxicity.score(docs, model, keep=docs.columns)
-    return scored.where(F.col("score") < toxicity.threshold_of(model, F.col("lang"))).select(*docs.columns)
+    score = "_score"
+    while score in docs.columns:
+        score += "_"
+    scored = toxicity.score(docs, model, keep=docs.columns, name=score)
+    return scored.where(F.col(score) < toxicity.threshold_of(model, F.col("lang"))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

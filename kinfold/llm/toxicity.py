@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinfold.llm.tokens import text_runs
 
@@ -269,23 +270,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return model
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of `keep` (key by default) and score, for every row."""
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns of `keep` (key by default) and the score as `name`, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [key] if keep is None else keep
+    inner = "_text"
+    while inner in keep:
+        inner += "_"
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for _, rows in text_runs(batch, "_text"):
-                p = m.score(rows.column("_text"))
-                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in range(len(keep))], pa.array(p, pa.float64())], [*keep, "score"])
+            for _, rows in text_runs(batch, inner):
+                p = m.score(rows.column(inner))
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in range(len(keep))], pa.array(p, pa.float64())], [*keep, name])
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    fields = [f for f in rows.schema.fields if f.name != "_text"]
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return rows.mapInArrow(own, StructType([*fields, StructField("score", DoubleType())]))
+    rows = docs.select(*keep, F.col(text).alias(inner))
+    fields = [f for f in rows.schema.fields if f.name != inner]
+    return rows.mapInArrow(own, StructType([*fields, StructField(name, DoubleType())]))
 
 
 def threshold_of(model: Model, lang: Column) -> Column:

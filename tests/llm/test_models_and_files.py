@@ -286,7 +286,9 @@ def test_pipeline_stages(spark, data):
 
 def test_pipeline_on_odd_tables(spark, data, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d e f", "en", "s", 11), (3, "a b c d e f", "en", "s", 11), (3, "a b c d e f", "en", "s", 11), (4, "word " * 5000, "de", None, 25000)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    # columns beyond those of documents may have any name
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, size int, doc string, kept_id long, _text string"
+    rows = [(*r, 1.0, 2, "d", 3, "t") for r in rows]
     for k, part in enumerate((rows, [])):
         folder = f"{tmp_path}/{k}"
         spark.createDataFrame(part, schema).write.parquet(f"{folder}/documents.parquet")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import tidy
 from kinfold.llm.tokens import encoder, text_runs
 
 RULES = ("start", "end", "majority", "split")
@@ -83,7 +84,7 @@ def _attribute(rows: DataFrame, tokenizer: str, rule: str, borders) -> DataFrame
                 key = run.column("key").take(pa.array(np.concatenate(owner)))
                 yield pa.RecordBatch.from_arrays([key, pa.array(sec.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int64)), pa.array(n), pa.array(crossing.astype(np.int64))], ["key", "section", "start_char", "n_chars", "n_tokens", "n_crossing"])
 
-    return rows.mapInArrow(own, "key long, section int, start_char long, n_chars long, n_tokens double, n_crossing long")
+    return rows.mapInArrow(tidy(own), "key long, section int, start_char long, n_chars long, n_tokens double, n_crossing long")
 
 
 def by_line(docs: DataFrame, tokenizer: str, rule: str = "start", key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,36 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system, for the tasks and the JVM beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(f: Callable) -> Callable:
+    """`f` over batches, releasing memory when a task has ended."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        release()
+
+    return run
+
+
+def tidy_group(f: Callable) -> Callable:
+    """`f` over one group, releasing memory after it."""
+
+    def run(group):
+        out = f(group)
+        release()
+        return out
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

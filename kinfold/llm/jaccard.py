@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import save
+from kinfold.llm.common import save, tidy, tidy_group
 from kinfold.llm.components import components
 from kinfold.llm.tokens import text_runs
 
@@ -259,7 +259,7 @@ def frequent(docs: DataFrame) -> dict[int, int]:
                     h, c = h[top], c[top]
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(c.astype(np.int64))], ["h", "n"])
 
-    found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4")
+    found = docs.select("text").mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4")
     return {r["h"]: r["n"] for r in found.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()}
 
 
@@ -291,7 +291,7 @@ def features(docs: DataFrame, often: dict[int, int]) -> DataFrame:
                     keys.append(s[:most].tobytes())
                 yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())], ["doc_id", "n", "cls", "bits", "keys"])
 
-    return docs.mapInArrow(own, "doc_id long, n long, cls long, bits binary, keys binary")
+    return docs.mapInArrow(tidy(own), "doc_id long, n long, cls long, bits binary, keys binary")
 
 
 def groups(rows: DataFrame, often: dict[int, int], most: int = MOST) -> DataFrame:
@@ -347,9 +347,9 @@ def groups(rows: DataFrame, often: dict[int, int], most: int = MOST) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 0].copy())], ["gid", "members", "a", "b"])
 
     schema = "gid long, members array<long>, a long, b long"
-    dealt = rows.where("cls IS NOT NULL").select("cls", "keys").mapInArrow(deal, "bucket long, pairs binary")
-    small = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(split, schema)
-    return small.unionByName(dealt.where("bucket < 0").mapInArrow(stars, schema))
+    dealt = rows.where("cls IS NOT NULL").select("cls", "keys").mapInArrow(tidy(deal), "bucket long, pairs binary")
+    small = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(tidy_group(split), schema)
+    return small.unionByName(dealt.where("bucket < 0").mapInArrow(tidy(stars), schema))
 
 
 def _unique_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -403,7 +403,7 @@ def narrow(members: DataFrame) -> DataFrame:
         names, place = np.unique(cls, return_inverse=True)
         return _stars(names, zip(place[p[keep]].tolist(), place[q[keep]].tolist(), strict=True))
 
-    return members.groupBy("block").applyInArrow(block, "a long, b long")
+    return members.groupBy("block").applyInArrow(tidy_group(block), "a long, b long")
 
 
 def _sets_of(docs: DataFrame) -> DataFrame:
@@ -417,7 +417,7 @@ def _sets_of(docs: DataFrame) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([rows.column("cls"), rows.column("block"), pa.array(sets, pa.binary())], ["cls", "block", "s"])
                 yield out.filter(pc.equal(cls, rows.column("cls")))
 
-    return docs.select("text", "cls", "block").mapInArrow(own, "cls long, block long, s binary")
+    return docs.select("text", "cls", "block").mapInArrow(tidy(own), "cls long, block long, s binary")
 
 
 def _stars(cls: np.ndarray, found: Iterable[tuple[int, int]]) -> pa.Table:
@@ -472,7 +472,7 @@ def join_large(sets: DataFrame, most: int = MOST, most_turns: int = 20) -> DataF
         part = F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("size") / most)).alias("part")
         dealt = heads.join(sizes, "block").select(F.col("cls").alias("c"), F.xxhash64("block", part).alias("own"), "size")
         rows = sets.join(dealt, sets["cls"] == dealt["c"]).drop("c")
-        stars = save(rows.select("own", "block", "cls", "s").groupBy("own").applyInArrow(_within, "a long, b long"), "large-stars")
+        stars = save(rows.select("own", "block", "cls", "s").groupBy("own").applyInArrow(tidy_group(_within), "a long, b long"), "large-stars")
         label = save(label.join(stars, label["label"] == stars["a"], "left").select("block", "cls", F.coalesce("b", "label").alias("label")), "large-labels")
         whole = sizes.agg(F.max("size")).first()[0] or 0
         heads = label.select("block", F.col("label").alias("cls")).distinct()
@@ -492,7 +492,7 @@ def join_large(sets: DataFrame, most: int = MOST, most_turns: int = 20) -> DataF
     lone = cell(placed.where("loose").select("*", F.pmod(F.xxhash64("cls"), "loose_parts").alias("x"), F.explode(upto("parts")).alias("y")), True)
     rest = cell(placed.select("*", F.pmod(F.xxhash64("cls", F.lit(7)), "parts").alias("y"), F.explode(upto("loose_parts")).alias("x")), False)
     pairs = sets.select("cls", "s").join(lone.unionByName(rest), "cls")
-    found = pairs.groupBy("own").applyInArrow(_across, "a long, b long")
+    found = pairs.groupBy("own").applyInArrow(tidy_group(_across), "a long, b long")
     known = label.where("cls <> label").select(F.col("cls").alias("a"), F.col("label").alias("b"))
     roots = components(known.unionByName(found))
     return label.select("cls").join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("label"))
@@ -521,7 +521,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = M
     large = sizes.where(F.col("size") > most).select("block")
     n_tasks = max(1, int(sets.count() // 2_000) + 1)
     small = sets.join(large, "block", "left_anti").withColumn("own", F.pmod(F.xxhash64("block"), F.lit(n_tasks)))
-    roots = save(small.groupBy("own").applyInArrow(_within, "a long, b long"), "stars").withColumnsRenamed({"a": "node", "b": "root"})
+    roots = save(small.groupBy("own").applyInArrow(tidy_group(_within), "a long, b long"), "stars").withColumnsRenamed({"a": "node", "b": "root"})
     if not large.isEmpty():
         roots = roots.unionByName(join_large(save(sets.join(large, "block", "left_semi"), "large"), most).toDF("node", "root"))
     labelled = kinds.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))

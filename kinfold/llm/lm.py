@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import tidy, tidy_group
 from kinfold.llm.tokens import text_runs
 
 BUCKETS = 1 << 15
@@ -177,7 +178,7 @@ def count_words(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     out = np.zeros(BUCKETS, np.int64)
     # BUCKETS rows
-    for r in docs.select(F.col(text).alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(F.col(text).alias("text")).mapInArrow(tidy(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -218,9 +219,9 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_size:
             total = np.sum([np.frombuffer(x, np.float32).astype(np.float64) for x in t.column("w").to_pylist()], axis=0)
             return pa.table({"chunk": [t.column("chunk")[0].as_py()], "w": pa.array([(total / max(n, 1)).astype(np.float32).tobytes()], pa.binary()), "seen": [n]})
 
-        sent = docs.select(F.col(text).alias("text")).mapInArrow(local, "chunk long, seen long, w binary")
+        sent = docs.select(F.col(text).alias("text")).mapInArrow(tidy(local), "chunk long, seen long, w binary")
         # size / chunk rows: the weights once
-        got = sorted(sent.groupBy("chunk").applyInArrow(mean, "chunk long, w binary, seen long").collect(), key=lambda r: r["chunk"])
+        got = sorted(sent.groupBy("chunk").applyInArrow(tidy_group(mean), "chunk long, w binary, seen long").collect(), key=lambda r: r["chunk"])
         if got and got[0]["seen"]:
             network.load(np.concatenate([np.frombuffer(r["w"], np.float32) for r in got]))
     return Scorer(vocabulary, network)
@@ -240,4 +241,4 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(n.astype(np.int64)), pa.array(total), mean], ["key", "n_tokens", "log_likelihood", "mean_log_prob"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(own, "key long, n_tokens long, log_likelihood double, mean_log_prob double").withColumnRenamed("key", key)
+    return rows.mapInArrow(tidy(own), "key long, n_tokens long, log_likelihood double, mean_log_prob double").withColumnRenamed("key", key)

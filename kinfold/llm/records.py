@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import filesystem, new_path, partitions
+from kinfold.llm.common import filesystem, new_path, partitions, tidy
 from kinfold.llm.tokens import encoder, text_runs
 
 HEAD, TAIL, META = "<QI", "<I", "<BBBBqI"
@@ -116,7 +116,7 @@ def write(docs: DataFrame, path: str | None, tokenizer: str, key: str = "doc_id"
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(n, "key").sortWithinPartitions("key", F.col("text").asc_nulls_first())
     # one row for each partition of the shuffle
-    found = ordered.mapInArrow(shard, "part long, shard string, index string, records long, ids long").collect()
+    found = ordered.mapInArrow(tidy(shard), "part long, shard string, index string, records long, ids long").collect()
     manifest, before = [], 0
     for r in sorted(found, key=lambda r: r["part"]):
         manifest.append({**r.asDict(), "before": before})
@@ -157,7 +157,7 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     names = ["key", "start", "n_tokens", "ids_crc32", "shard", "offset"]
     arrow = pa.schema([(n, pa.string() if n == "shard" else pa.int64()) for n in names])
     shards = spark.createDataFrame([(m["shard"], m["before"]) for m in manifest], "shard string, before long")
-    return shards.repartition(len(manifest)).mapInArrow(records, schema)
+    return shards.repartition(len(manifest)).mapInArrow(tidy(records), schema)
 
 
 def fetch(shard: str, offset: int, length: int) -> tuple[int | None, np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 WHOLE = (
     r"\A[ \n]|[ \n][ \n]|[ \n]\z|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 )
-MOST_CACHED = 700_000
+MOST_CACHED = 400_000
 CLOSING = frozenset(".,;:!?")
 
 
@@ -51,24 +51,23 @@ class Encoder:
         self.letters = _byte_letters()
         self.alone = {c: np.array([vocab[c]], self.dtype).tobytes() for c in CLOSING if c in vocab}
         self.cache: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
         """Ids of a blank and letters, which the pre-tokenizer keeps together."""
-        ids = self.words.get(word)
+        ids = self.cache.get(word)  # a piece of letters only is such a word
         if ids is None:
             raw = "Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
-            ids = self.words[word] = np.array([x.id for x in self.model.tokenize(raw)], self.dtype).tobytes()
+            ids = self.cache[word] = np.array([x.id for x in self.model.tokenize(raw)], self.dtype).tobytes()
         return ids
 
     def _learn(self, pieces: list[str]) -> None:
         cache, alone, rest = self.cache, self.alone, []
         for p in pieces:
             if p.isalpha():
-                cache[p] = self._word(p)
+                self._word(p)
             elif p[-1] in alone and p[:-1].isalpha():
                 cache[p] = self._word(p[:-1]) + alone[p[-1]]
             else:
@@ -86,7 +85,7 @@ class Encoder:
             by_hand = self._whole(texts.take(pa.array(odd)).to_pylist())
             texts = pc.if_else(whole, pa.scalar("", pa.large_string()), texts)
         if len(self.cache) > MOST_CACHED:
-            self.cache, self.words = {"": b""}, {}
+            self.cache = {"": b""}
         marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), texts, pa.scalar("", pa.large_string())), "\n", " \n")
         split = pc.split_pattern(marked, " ")
         coded = split.values.dictionary_encode()
@@ -152,7 +151,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def text_runs(batch: pa.RecordBatch, column: str = "text", most: int = 12_000_000):
+def text_runs(batch: pa.RecordBatch, column: str = "text", most: int = 8_000_000):
     """(first row, slice) runs of a batch whose texts hold `most` bytes at most, or one text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, ends = 0, np.cumsum(sizes, dtype=np.int64)

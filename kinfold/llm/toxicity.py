@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from kinfold.llm.common import tidy
 from kinfold.llm.tokens import text_runs
 
 ROWS = 1 << 16
@@ -287,7 +288,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     rows = docs.select(*keep, F.col(text).alias(inner))
     fields = [f for f in rows.schema.fields if f.name != inner]
-    return rows.mapInArrow(own, StructType([*fields, StructField(name, DoubleType())]))
+    return rows.mapInArrow(tidy(own), StructType([*fields, StructField(name, DoubleType())]))
 
 
 def threshold_of(model: Model, lang: Column) -> Column:

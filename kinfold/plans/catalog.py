@@ -195,14 +195,14 @@ def credential_search_best(spark, d):
 
 
 def _pairs(spark, d):
+    """All people with the candidates of their blocks."""
     hub = _hub(spark, d)
-    people = hub.staged.where("stg_person_id % 5 = 0 AND date_of_birth IS NULL")
-    return probabilistic.paired(probabilistic.candidates(people, hub.staged, hub.links, CONFIG), people, hub.identities, hub.addresses, hub.exclusions)
+    return probabilistic.paired(probabilistic.candidates(hub.staged, hub.staged, hub.links, CONFIG), hub.staged, hub.identities, hub.addresses, hub.exclusions)
 
 
 def block_candidates(spark, d):
     hub = _hub(spark, d)
-    return probabilistic.candidates(hub.staged.where("date_of_birth IS NULL"), hub.staged, hub.links, CONFIG)
+    return probabilistic.candidates(hub.staged, hub.staged, hub.links, CONFIG)
 
 
 def hard_no_filter(spark, d):

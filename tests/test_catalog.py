@@ -5,6 +5,7 @@ import collections
 import duckdb
 import pytest
 
+from kinfold.functions.text import jaro_winkler_one
 from kinfold.plans import catalog
 from kinfold.plans.pipeline import Hub, backfill
 from kinfold.sources.synthetic import OrdersConnector
@@ -73,3 +74,47 @@ def test_stream_applies_a_batch_once(spark, data, tmp_path):
     n = hub.links.count()
     assert n == people.count() and hub.links.select("stg_person_id").distinct().count() == n
     assert hub.profiles.count() == hub.profiles.select("identity_id").distinct().count()
+
+
+def test_probabilistic_queries_ask_for_all_people(spark, data):
+    """Candidates, exclusions, gate, score and band of every person, against plain loops over all pairs."""
+    hub = catalog._hub(spark, data)
+    people = {r["stg_person_id"]: r for r in hub.staged.collect()}
+    identity = {r["identity_id"]: r for r in hub.identities.collect()}
+    of = {r["stg_person_id"]: r["identity_id"] for r in hub.links.collect()}
+    places, excluded = collections.defaultdict(set), {r["identity_id"] for r in hub.exclusions.collect() if r["registry"] is not None}
+    key = lambda v: (v or "").strip().lower() or None
+    norm = lambda v: " ".join((v or "").replace(".", " ").split()).lower() or None
+    for r in hub.addresses.collect():
+        places[r["identity_id"]].add((key(r["address1"]), r["zip"]))
+    blocks = collections.defaultdict(list)
+    for i, r in people.items():
+        if r["block_key"] is not None:
+            blocks[r["block_key"]].append(i)
+    pairs = {(i, of[o]) for b in blocks.values() if len(b) <= catalog.CONFIG.block_cap for i in b for o in b if o != i}
+    w, filters, scores = catalog.CONFIG.weights, {}, {}
+    for i, k in pairs:
+        p, q = people[i], identity[k]
+        mine, theirs = p["date_of_birth"], q["canonical_dob"]
+        years = mine is not None and theirs is not None and mine.year != theirs.year
+        npis = (p["npi"] or 0) > 0 and (q["npi"] or 0) > 0 and p["npi"] != q["npi"]
+        names = [(norm(p[f"{c}_name"]), norm(q[f"canonical_{c}"])) for c in ("first", "last", "middle")]
+        (m, n), suffixes = names[2], (norm(p["name_suffix"]), norm(q["canonical_suffix"]))
+        middle = not m or not n or (m[0] == n[0] if 1 in (len(m), len(n)) else m == n)
+        gate = all(a is not None and a == b for a, b in names[:2]) and middle and (None in suffixes or suffixes[0] == suffixes[1]) and not years
+        filters[i, k] = (int(years or npis), int(gate))
+        if years or npis or not gate:
+            continue
+        full = [" ".join(v for v in x if v is not None).lower().encode() for x in ((p["last_name"], p["first_name"]), (q["canonical_last"], q["canonical_first"]))]
+        dob = 0.0 if mine is None or theirs is None else w.dob if mine == theirs else w.dob / 2
+        at = {(key(a["address1"]), a["zip"]) for a in p["addresses"] if a["zip"] is not None}
+        same, zips = any(a in places[k] for a in at if a[0]), {a[1] for a in at} & {z for _, z in places[k]}
+        scores[i, k] = round(min(jaro_winkler_one(*full) * w.name + dob + w.address * same + w.zip * bool(zips) + w.exclusion * (k in excluded), 1.0), 4)
+    found = catalog.block_candidates(spark, data).collect()
+    assert len(found) == len(pairs) and {tuple(r) for r in found} == pairs
+    assert {(r["stg_person_id"], r["identity_id"]): (r["barred"], r["gate"]) for r in catalog.hard_no_filter(spark, data).collect()} == filters
+    out = {(r["stg_person_id"], r["identity_id"]): (r["score"], r["band"]) for r in catalog.score_bands(spark, data).collect()}
+    assert {k: v for k, (v, _) in out.items()} == pytest.approx(scores)
+    assert all(b == ("auto_match" if v >= 0.92 else "review" if v >= 0.75 else "no_match") for v, b in out.values())
+    assert {b for _, b in out.values()} == {"auto_match", "review", "no_match"}
+    assert {i % 5 == 0 for i, _ in out} == {True, False} and {b for b, _ in filters.values()} == {0, 1}

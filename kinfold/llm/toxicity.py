@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kinfold.llm.common import tidy
+from kinfold.llm.common import save, tidy
 from kinfold.llm.tokens import text_runs
 
 ROWS = 1 << 16
@@ -235,22 +235,34 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-(logit(p[order[k]]) + logit(low)) / 2)))
 
 
+def longest_text(lengths: list[int], most: int | None = None) -> int:
+    """The largest length to which texts can be cut so that all together have no more than `most` characters."""
+    left = MOST_CHARS if most is None else most
+    lengths = sorted(lengths)
+    for k, n in enumerate(lengths):
+        if n * (len(lengths) - k) > left:
+            return left // (len(lengths) - k)
+        left -= n
+    return max(lengths, default=0)
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang", usable: Column | None = None) -> Model:
     """Fit on a sample of the labelled rows for which `usable` (on the key) holds. The sample is the rows of the smallest
-    hashes of the key, up to the bounds for each label. Repeated label rows count once; a key with both labels is toxic."""
+    hashes of the key, up to the bounds for each label; of texts that are too long together only the longest are cut, all
+    to one length. Repeated label rows count once; a key with both labels is toxic."""
     marked = labels.where(usable) if usable is not None else labels
     marked = marked.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
+    marked = marked.join(docs.select(F.col(key).alias("key")), "key", "left_semi")
     pick = lambda v, n: marked.where(F.col("label") == v).orderBy(F.crc32(F.concat(F.lit("sample"), F.col("key").cast("string"))), "key").limit(n)
     # bounded by MOST_POSITIVE + MOST_NEGATIVE rows
     sample = pick(1, MOST_POSITIVE).unionByName(pick(0, MOST_NEGATIVE))
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang"))
-    rows = own.join(F.broadcast(sample), "key").dropDuplicates(["key"]).orderBy(F.crc32(F.col("key").cast("string")), "key")
-    texts, y, langs, held = [], [], [], 0
-    for r in rows.toLocalIterator():
-        held += len(r["text"] or "")
-        if held > MOST_CHARS and texts:
-            break
-        texts.append(r["text"] or ""), y.append(r["label"]), langs.append(r["lang"])
+    rows = own.join(F.broadcast(sample), "key").dropDuplicates(["key"]).withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, MOST_CHARS))
+    rows = save(rows, "toxicity-sample").orderBy(F.crc32(F.col("key").cast("string")), "key")
+    longest = longest_text([r[0] for r in rows.select(F.length("text")).collect()])
+    texts, y, langs = [], [], []
+    for r in rows.withColumn("text", F.substring("text", 1, longest)).toLocalIterator():
+        texts.append(r["text"]), y.append(r["label"]), langs.append(r["lang"])
     y, model = np.array(y, np.float64), Model()
     if len(y) == 0 or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.0

@@ -176,6 +176,39 @@ def test_toxicity_without_labels_of_both_kinds(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_keeps_all_other_rows_beside_a_long_text(spark, monkeypatch):
+    docs, labels, rows, marks = toxic_corpus(spark)
+    first = min((i for i, _, t in marks if t is not None), key=lambda i: (zlib.crc32(str(i).encode()), i))
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 2 * sum(len(r[1] or "") for r in rows))
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("enort "), toxicity.MOST_CHARS)).otherwise(F.col("text")))
+    fitted = []
+    fit = toxicity.Model.fit
+    monkeypatch.setattr(toxicity.Model, "fit", lambda self, texts, y: (fitted.append((texts, y)), fit(self, texts, y)))
+    model = toxicity.train(long, labels)
+    texts, y = fitted[0]
+    assert model.constant is None and sum(map(len, texts)) <= toxicity.MOST_CHARS
+    assert len(texts) >= 480 and {r[1] for r in rows[:600] if r[0] != first} >= {t for t in texts if len(t) < 2000} and 0 < y.mean() < 1
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert sum((got[i] >= toxicity.THRESHOLD) == bool(t) for i, _, t in marks if t is not None) / len(marks) > 0.95
+
+
+def test_toxicity_samples_labels_that_have_a_document(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_POSITIVE", 50), monkeypatch.setattr(toxicity, "MOST_NEGATIVE", 50)
+    docs, labels, _, _ = toxic_corpus(spark)
+    absent = spark.range(10_000, 30_000).selectExpr("id AS doc_id", "1 AS quality", "1 AS toxic")
+    fitted = []
+    fit = toxicity.Model.fit
+    monkeypatch.setattr(toxicity.Model, "fit", lambda self, texts, y: (fitted.append(y), fit(self, texts, y)))
+    assert toxicity.train(docs, labels.unionByName(absent)).constant is None and 70 <= len(fitted[0]) <= 100
+
+
+def test_longest_text():
+    for lengths, most in (([5, 1, 9], 15), ([5, 1, 9], 12), ([5, 1, 9], 4), ([0, 0], 3), ([], 3), ([50], 10)):
+        n = toxicity.longest_text(lengths, most)
+        assert sum(min(x, n) for x in lengths) <= most
+        assert n >= max(lengths, default=0) or sum(min(x, n + 1) for x in lengths) > most
+
+
 def test_convolution_equals_plain_loops():
     m = toxicity.Model(1)
     rng = np.random.default_rng(3)

@@ -3,10 +3,11 @@
 Words are embedded by hashing: a word's vector is the sum of a hashed row for the word (lower case, punctuation at its ends
 removed) and the mean of hashed rows for its byte n-grams. Filters of several widths run over the words, each is
 max-pooled over the whole text, and a logistic layer scores the pooled values. Scores are shifted so that the threshold
-with the best F1 on held-back training rows lies at 0.3; thresholds are then calibrated for each language.
+with the best F1 on all labelled rows lies at 0.3; thresholds are then calibrated for each language, on all its labelled
+rows.
 
 The model is fitted on the driver on a bounded sample of labelled rows (`MOST_POSITIVE`, `MOST_NEGATIVE`, `MOST_CHARS`);
-scoring is one pass over whole texts without a shuffle. Null and empty texts have the score of a text without words;
+calibration scores all documents that may have a label and counts them by score, language and label; scoring is one pass over whole texts without a shuffle. Null and empty texts have the score of a text without words;
 repeated rows each get a row; an empty table gives no rows; without labels of both kinds every score is the share of
 toxic labels (0 if there are none). Columns other than key and text are not read for a score.
 """
@@ -33,6 +34,8 @@ GRAMS = (4, 5)
 THRESHOLD = 0.3
 #: Bounds of the training sample.
 MOST_POSITIVE, MOST_NEGATIVE, MOST_CHARS = 1500, 3000, 20_000_000
+#: Width of the steps of log-odds in which scores are counted for calibration.
+STEP = 0.01
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#-_~`/\\"
 SEED = 20240501
 
@@ -224,11 +227,13 @@ class Model:
                     step("table", total, used)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the best F1, in the middle between the scores beside it."""
+def best_threshold(p: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> float:
+    """The threshold with the best F1, in the middle between the scores beside it. With `n` each score stands for `n` rows,
+    `y` of them toxic."""
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
+    rows = np.arange(1, len(p) + 1) if n is None else np.cumsum(n[order])
+    f1 = 2 * hits / (rows + y.sum())
     k = int(np.argmax(f1))
     low = p[order[k + 1]] if k + 1 < len(p) else 0.0
     logit = lambda v: np.log(np.clip(v, 1e-6, 1 - 1e-6) / (1 - np.clip(v, 1e-6, 1 - 1e-6)))
@@ -252,37 +257,56 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     to one length. Repeated label rows count once; a key with both labels is toxic."""
     marked = labels.where(usable) if usable is not None else labels
     marked = marked.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
-    marked = marked.join(docs.select(F.col(key).alias("key")), "key", "left_semi")
+    labelled = marked.where("label IN (0, 1)")
+    marked = labelled.join(docs.select(F.col(key).alias("key")), "key", "left_semi")
     pick = lambda v, n: marked.where(F.col("label") == v).orderBy(F.crc32(F.concat(F.lit("sample"), F.col("key").cast("string"))), "key").limit(n)
     # bounded by MOST_POSITIVE + MOST_NEGATIVE rows
     sample = pick(1, MOST_POSITIVE).unionByName(pick(0, MOST_NEGATIVE))
-    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(lang) if lang in docs.columns else F.lit(None)).cast("string").alias("lang"))
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = own.join(F.broadcast(sample), "key").dropDuplicates(["key"]).withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, MOST_CHARS))
     rows = save(rows, "toxicity-sample").orderBy(F.crc32(F.col("key").cast("string")), "key")
     longest = longest_text([r[0] for r in rows.select(F.length("text")).collect()])
-    texts, y, langs = [], [], []
+    texts, y = [], []
     for r in rows.withColumn("text", F.substring("text", 1, longest)).toLocalIterator():
-        texts.append(r["text"]), y.append(r["label"]), langs.append(r["lang"])
+        texts.append(r["text"]), y.append(r["label"])
     y, model = np.array(y, np.float64), Model()
     if len(y) == 0 or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
-    back = np.arange(len(y)) % 5 == 4
-    if y[back].min(initial=1) == y[back].max(initial=0) or y[~back].min() == y[~back].max():
-        back[:] = False
-    fit, check = np.flatnonzero(~back), np.flatnonzero(back) if back.any() else np.arange(len(y))
-    model.fit([texts[i] for i in fit], y[fit])
-    p = np.concatenate([model.score(pa.array([texts[i] for i in check[a : a + 200]], pa.large_string())) for a in range(0, len(check), 200)])
-    cut = best_threshold(p, y[check])
-    model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.log(cut / (1 - cut)))
-    for name in {v for v in langs if v}:
-        at = np.array([k for k, i in enumerate(check) if langs[i] == name], np.int64)
-        if len(at) and 0 < y[check[at]].sum() < len(at):
-            t = best_threshold(p[at], y[check[at]])
-            model.thresholds[name] = float(1 / (1 + np.exp(-(np.log(t / (1 - t)) + model.shift))))
+    # a fifth is not fitted, so that rows which the model has not seen count at every size
+    fit = np.arange(len(y)) % 5 != 4
+    if y[fit].min() == y[fit].max():
+        fit[:] = True
+    model.fit([t for t, f in zip(texts, fit, strict=True) if f], y[fit])
+    calibrate(model, docs.where(usable) if usable is not None else docs, labelled, key, text, lang)
     return model
 
 
+def calibrate(model: Model, docs: DataFrame, labelled: DataFrame, key: str, text: str, lang: str) -> None:
+    """Choose shift and thresholds from the scores of all documents with a label, counted by language and label in steps of
+    `STEP` of the log-odds. Texts are scored where they are; only keys, languages and scores are shuffled."""
+    by = [lang] if lang in docs.columns else []
+    scored = score(docs.where(F.col(key).isNotNull()), model, key, text, [key, *by], "_p")
+    p = F.greatest(F.least(F.col("_p"), F.lit(1 - 1e-6)), F.lit(1e-6))
+    scored = scored.select(F.col(key).alias("key"), (F.col(lang) if by else F.lit(None)).cast("string").alias("lang"), F.round(F.log(p / (1 - p)) / STEP).cast("int").alias("step"))
+    counts = scored.join(labelled, "key").groupBy("lang", "step").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
+    # at most 27.7 / STEP rows for each language
+    found = counts.toPandas()
+    logit = lambda v: float(np.log(v / (1 - v)))
+
+    def cut(t: pd.DataFrame) -> float | None:
+        t = t.groupby("step", as_index=False)[["hits", "n"]].sum()
+        if not 0 < t["hits"].sum() < t["n"].sum():
+            return None
+        return logit(best_threshold(1 / (1 + np.exp(-t["step"].to_numpy(np.float64) * STEP)), t["hits"].to_numpy(np.float64), t["n"].to_numpy(np.float64)))
+
+    general = cut(found)
+    model.shift = logit(THRESHOLD) - general if general is not None else 0.0
+    for name, own in found[found["lang"].fillna("") != ""].groupby("lang"):
+        if (c := cut(own)) is not None:
+            model.thresholds[name] = float(1 / (1 + np.exp(-(c + model.shift))))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """The columns of `keep` (key by default) and the score as `name`, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -305,7 +329,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def threshold_of(model: Model, lang: Column) -> Column:
     """The calibrated threshold of a language; 0.3 for one without."""
-    out = F.lit(THRESHOLD)
-    for name, t in sorted(model.thresholds.items()):
-        out = F.when(lang == name, F.lit(t)).otherwise(out)
-    return out
+    if not model.thresholds:
+        return F.lit(THRESHOLD)
+    known = F.create_map(*[F.lit(v) for pair in sorted(model.thresholds.items()) for v in pair])
+    return F.coalesce(F.try_element_at(known, lang.cast("string")), F.lit(THRESHOLD))

@@ -202,6 +202,25 @@ def test_toxicity_samples_labels_that_have_a_document(spark, monkeypatch):
     assert toxicity.train(docs, labels.unionByName(absent)).constant is None and 70 <= len(fitted[0]) <= 100
 
 
+def test_toxicity_thresholds_are_of_all_labelled_rows(spark, monkeypatch):
+    """The sample is small and half toxic, the table is not; a rare language has few labels."""
+    monkeypatch.setattr(toxicity, "MOST_POSITIVE", 60), monkeypatch.setattr(toxicity, "MOST_NEGATIVE", 60)
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        lang = "zz" if i % 300 < 2 else rng.choice(["en", "fr"])
+        toxic = int(i % 300 == 0 if lang == "zz" else rng.random() < 0.08)
+        vile = rng.random() < (0.85 if toxic else 0.05 if lang == "en" else 0.1)
+        rows.append((i, " ".join(["vile"] * vile + [f"w{rng.randrange(40)}" for _ in range(15)]), lang, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    out = toxicity.score(docs, model, keep=["lang", "toxic"]).withColumn("limit", toxicity.threshold_of(model, F.col("lang"))).toPandas()
+    assert set(model.thresholds) == {"en", "fr", "zz"}
+    f1 = lambda t, said: 2 * (said & (t["toxic"] == 1)).sum() / (said.sum() + t["toxic"].sum())
+    for t, at in [(out, toxicity.THRESHOLD), *[(g, g["limit"]) for _, g in out.groupby("lang")]]:
+        assert f1(t, t["score"] >= at) >= max(f1(t, t["score"] >= c) for c in t["score"].unique()) - 0.01
+
+
 def test_longest_text():
     for lengths, most in (([5, 1, 9], 15), ([5, 1, 9], 12), ([5, 1, 9], 4), ([0, 0], 3), ([], 3), ([50], 10)):
         n = toxicity.longest_text(lengths, most)

@@ -7,9 +7,9 @@ its class gives the rest:  p(word | sides) = p(class | sides) * p(bucket | class
 log-probabilities of its words, each given the words around it (a pseudo-log-likelihood); positions outside the document
 hold a border id.
 
-Training is data-parallel over all documents: in each round every task starts from the same weights, runs over the masked
-positions (one in `MASK`, by a hash of the position) of all its documents, and sends its weights; their mean by the number
-of positions starts the next round. What is sent grows with the number of tasks, so with the input; the model does not.
+Training is data-parallel over all documents: in each round every task starts from the same weights, runs over the round's
+share of the positions of all its documents, and sends its weights; their mean by the number of positions starts the next
+round. The rounds deal the positions out by a hash, so every word of every document is a target in exactly one of them. What is sent grows with the number of tasks, so with the input; the model does not.
 
 Null, empty and blank texts have no words: n_tokens 0, score 0, no mean. Repeated rows each get a row; an empty table gives
 no rows (and an untrained model); columns other than key and text are not read.
@@ -34,7 +34,6 @@ OWN, SHARED = 4096, 1024
 BORDER = OWN + SHARED
 DIM, HIDDEN, CLASSES = 16, 32, 64
 SIDE = 2
-MASK = 8
 ROUNDS = 2
 RATE = 0.05
 BATCH = 512
@@ -123,6 +122,8 @@ class Scorer:
 
     def __init__(self, vocabulary: Vocabulary, network: Network):
         self.v, self.net = vocabulary, network
+        #: How many words were targets in training.
+        self.trained = 0
         self.parts: list[np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
@@ -166,6 +167,12 @@ def window(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def targets(bucket: np.ndarray, at: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The places that are masked and predicted in a round; each place is in one of the rounds."""
+    place = np.arange(len(bucket)) - np.repeat(at[:-1], np.diff(at))
+    return np.flatnonzero((bucket * 31 + place * 17 + turn) % rounds == 0)
+
+
 def count_words(docs: DataFrame, text: str = "text") -> np.ndarray:
     """How often each bucket occurs in the corpus."""
 
@@ -188,7 +195,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_size:
     spark = docs.sparkSession
     vocabulary = Vocabulary(count_words(docs, text))
     network = Network(vocabulary.prior)
-    size, chunk = len(network.flat()), 4096
+    size, chunk, trained = len(network.flat()), 4096, 0
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, network))
 
@@ -203,8 +210,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_size:
                     bucket, at = buckets(rows.column("text"))
                     if not len(bucket):
                         continue
-                    place = np.arange(len(bucket)) - np.repeat(at[:-1], np.diff(at))
-                    chosen = np.flatnonzero((bucket * 31 + place * 17 + turn * 7) % MASK == 0)
+                    chosen = targets(bucket, at, turn, rounds)
                     around, target = window(v.ids[bucket], at)[chosen], v.classes[bucket[chosen]]
                     order = np.random.default_rng(SEED + len(chosen)).permutation(len(chosen))
                     for a in range(0, len(order), batch_size):
@@ -224,7 +230,10 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_size:
         got = sorted(sent.groupBy("chunk").applyInArrow(tidy_group(mean), "chunk long, w binary, seen long").collect(), key=lambda r: r["chunk"])
         if got and got[0]["seen"]:
             network.load(np.concatenate([np.frombuffer(r["w"], np.float32) for r in got]))
-    return Scorer(vocabulary, network)
+            trained += got[0]["seen"]
+    scorer = Scorer(vocabulary, network)
+    scorer.trained = trained
+    return scorer
 
 
 def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -301,6 +301,14 @@ def test_pseudo_likelihood_probabilities_sum_to_one(spark):
     assert lm.score(docs.limit(0), lm.train(docs.limit(0))).collect() == []
 
 
+def test_pseudo_likelihood_trains_on_every_word(spark):
+    texts, docs = lm_corpus(spark, 30)
+    bucket, at = lm.buckets(pa.array([*texts, "", "a"]))
+    for rounds in (1, lm.ROUNDS, 6):
+        assert sorted(np.concatenate([lm.targets(bucket, at, turn, rounds) for turn in range(rounds)])) == list(range(len(bucket)))
+    assert lm.train(docs).trained == 31 * 60
+
+
 # ---- registry and pipeline -------------------------------------------------------------------------------------------
 
 

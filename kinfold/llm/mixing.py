@@ -81,16 +81,30 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def schedule(mixed: DataFrame) -> DataFrame:
-    """A row for each taken copy: doc, copy, size, position in [0, 1], sorted by position over all partitions."""
+    """A row for each taken copy: doc, copy, source, before, size, position in [0, 1], sorted by position over all
+    partitions."""
     copies = mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     q = (F.col("before") + F.col("copy") * F.col("source_size") + F.col("size") / 2) / F.col("target")
     a = F.col("ramp")
     position = 2 * q / ((1 - a) + F.sqrt(F.greatest((1 - a) * (1 - a) + 4 * a * q, F.lit(0.0))))
-    copies = copies.select("doc", "copy", "size", F.least(position, F.lit(1.0)).alias("position"))
+    copies = copies.select("doc", "copy", "source", "before", "size", F.least(position, F.lit(1.0)).alias("position"))
     n = partitions(mixed.sparkSession)
     return copies.repartitionByRange(n, "position").sortWithinPartitions("position")
 
 
+def curriculum(docs: DataFrame, **how) -> DataFrame:
+    """The rows of mix() with `taken` as the words of the row's copies in the schedule, which is written in training order.
+
+    A row with words is known by its source and the words before it. The SQL knows no positions, so they stay in the
+    written schedule.
+    """
+    mixed = mix(docs, **how)
+    written = save(schedule(mixed), "mix-schedule")
+    copies = written.groupBy(F.col("source").alias("s"), F.col("before").alias("b")).agg(F.sum("size").alias("scheduled"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("before") == F.col("b")) & (F.col("size") > 0)
+    return mixed.drop("taken").join(copies, same, "left").withColumn("taken", F.coalesce("scheduled", F.lit(0).cast("long"))).drop("s", "b", "scheduled")
+
+
 #: DuckDB SQL for doc_id, size, source_size, target, taken of mix() over the table `documents`.
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),

@@ -22,7 +22,7 @@ def op2_pack_gga(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 

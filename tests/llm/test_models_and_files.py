@@ -325,6 +325,27 @@ def test_oracles(spark, data):
             assert [r[c] for c in cols] == pytest.approx(list(want[r["doc_id"]]))
 
 
+def test_curriculum_takes_what_the_schedule_holds(spark, data, monkeypatch):
+    written = []
+    monkeypatch.setattr(mixing, "save", lambda df, name, save=mixing.save: (written.append((name, save(df, name))), written[-1][1])[1])
+    rows = {r["doc_id"]: r["taken"] for r in queries.op3_mix_curriculum(spark, data).collect()}
+    copies = dict(written)["mix-schedule"].select("doc.doc_id", "doc.text", "copy", "source", "size", "position").collect()
+    assert len({r["source"] for r in copies}) > 1
+    for r in copies:
+        assert 0 <= r["position"] <= 1 and len(r["text"].split()) > 0
+        rows[r["doc_id"]] -= r["size"]
+    assert set(rows.values()) == {0}
+    at = [r["position"] for r in dict(written)["mix-schedule"].orderBy(F.input_file_name(), F.monotonically_increasing_id()).collect()]
+    assert at == sorted(at)
+
+
+def test_curriculum_of_odd_rows(spark):
+    rows = [(1, "a b", None), (1, "a b", None), (None, "a b c", "s"), (2, None, "s"), (3, "", None), (4, "a " * 50, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counted = lambda df: Counter((r["doc"]["doc_id"], r["source"], r["size"], r["before"], r["taken"]) for r in df.collect())
+    assert counted(mixing.curriculum(docs)) == counted(mixing.mix(docs)) and mixing.curriculum(docs.limit(0)).collect() == []
+
+
 def test_pipeline_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns = docs.columns

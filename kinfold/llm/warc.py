@@ -5,7 +5,8 @@ are revisits that carry its record id, their own payload's digest and length, an
 
 Reader: checks each record (version line, lengths, closing lines, block and payload digests, gzip checksum). After a
 failed check it looks for the next place where a member or a version line begins and a whole record checks, goes on from
-there, and logs the bytes between as a quarantined gap. Nothing raises for bad bytes.
+there, and logs the bytes between as a quarantined gap. A member may hold any number of records; they are checked and
+salvaged one by one in its content. Nothing raises for bad bytes.
 
 Null html is an empty payload; a null id counts as the smallest; rows repeated in full get the same kind of record each;
 an empty table gives no archives; other columns are not read.
@@ -19,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,6 +32,7 @@ from kinfold.llm.common import filesystem, new_path
 MOST_SHARD = 64_000_000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+BLANK = re.compile(rb"\r\n\r\n")
 
 
 class Damaged(ValueError):
@@ -71,14 +74,13 @@ def compose(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def parse(raw: bytes | memoryview) -> tuple[dict, bytes, int]:
     """(headers, block, bytes read) of the plain record at the start of `raw`; raises Damaged."""
     raw = memoryview(raw)
-    first = bytes(raw[:65536])
-    if not VERSION.match(first):
+    if not VERSION.match(raw):
         raise Damaged("no version line")
-    end = first.find(b"\r\n\r\n")
-    if end < 0:
+    blank = BLANK.search(raw)
+    if blank is None:
         raise Damaged("headers without an end")
-    head = {}
-    for line in first[:end].split(b"\r\n")[1:]:
+    end, head = blank.start(), {}
+    for line in bytes(raw[:end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("a header line without a colon")
@@ -111,38 +113,48 @@ def member(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), pos - len(gz.unused_data)
 
 
-def record_at(data: memoryview, at: int) -> tuple[dict, bytes, int]:
-    if bytes(data[at : at + 3]) == b"\x1f\x8b\x08":
-        raw, end = member(data, at)
-        head, block, used = parse(raw)
-        if used != len(raw):
-            raise Damaged("a member with more than one record")
-        return head, block, end
-    head, block, used = parse(data[at:])
-    return head, block, at + used
+Row = tuple[dict | None, bytes, str]
 
 
-def salvage(data: bytes | memoryview) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
+def rows_at(data: memoryview, at: int, plain: bool = False) -> tuple[Iterator[Row], int]:
+    """((headers, block, "") of each record and (None, b"", reason) of each gap, end) of the plain record or the gzip member
+    at `at`; raises Damaged if it holds no whole record. With `plain` there are no members."""
+    if plain or bytes(data[at : at + 3]) != b"\x1f\x8b\x08":
+        head, block, used = parse(data[at:])
+        return iter([(head, block, "")]), at + used
+    raw, end = member(data, at)
+    inside = (x[2:] for x in salvage(raw, True))
+    held = []
+    for row in inside:
+        held.append(row)
+        if row[0] is not None:
+            return chain(held, inside), end
+    raise Damaged(held[0][2] if held else "an empty member")
+
+
+def salvage(data: bytes | memoryview, plain: bool = False) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
     """(start, end, headers, block, "") of each record and (start, end, None, b"", reason) of each gap, in order; they
-    cover the bytes without overlap."""
+    cover the bytes without overlap, but that all rows of a gzip member have the member's start and end."""
     view, at = memoryview(data), 0
+    start = VERSION if plain else START
     while at < len(view):
         try:
-            head, block, end = record_at(view, at)
+            rows, end = rows_at(view, at, plain)
         except Damaged as e:
             reason, nxt, found = str(e), at + 1, None
-            while found is None and (m := START.search(view, nxt)):
+            while found is None and (m := start.search(view, nxt)):
                 nxt = m.start() + 1
                 try:
-                    found = (m.start(), *record_at(view, m.start()))
+                    found = (m.start(), *rows_at(view, m.start(), plain))
                 except Damaged:
                     continue
             if found is None:
                 yield at, len(view), None, b"", reason
                 return
             yield at, found[0], None, b"", reason
-            at, head, block, end = found
-        yield at, end, head, block, ""
+            at, rows, end = found
+        for row in rows:
+            yield at, end, *row
         at = end
 
 

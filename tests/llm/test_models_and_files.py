@@ -133,6 +133,27 @@ def test_payload_digest_is_checked(spark, tmp_path):
     assert (row["kind"], row["reason"]) == ("gap", "wrong payload digest")
 
 
+def test_pages_with_long_urls_are_read_back(spark):
+    rows = [(i, "http://x/?" + "q" * n, "<p>a</p>" * (i + 1), "s", "k", 1) for i, n in enumerate((5, 65_000, 66_000, 300_000))]
+    out = warc.read(spark, warc.write(spark.createDataFrame(rows, PAGES))).collect()
+    assert {(r["kind"], r["page_id"], r["url"], (r["payload"] or b"").decode()) for r in out} == {("record", i, u, t) for i, u, t, *_ in rows}
+
+
+def test_members_of_many_records(spark, tmp_path):
+    raw = [zlib.decompress(warc.compose(i, "u", b"body %d \x1f\x8b\x08" % i, None, "d"), 31) for i in range(5)]
+    gz = lambda x: (c := zlib.compressobj(4, zlib.DEFLATED, 31)).compress(x) + c.flush()
+    alone = warc.compose(9, "u", b"alone", None, "d")
+    whole, bad = gz(b"".join(raw)), gz(raw[0] + raw[1].replace(b"body", b"BODY") + raw[2])
+    found = list(warc.salvage(whole + alone + bad + gz(b"none") + alone))
+    assert [h and h["x-page-id"] for _, _, h, _, _ in found] == [*"01234", "9", "0", None, "2", None, "9"]
+    assert all((h is None) == bool(reason) for _, _, h, _, reason in found)
+    spans = list(dict.fromkeys(x[:2] for x in found))
+    assert [a for a, _ in spans] == [0, *(b for _, b in spans[:-1])] and spans[0] == (0, len(whole))
+    (tmp_path / "a.warc.gz").write_bytes(whole)
+    out = warc.read(spark, [f"file://{tmp_path}/a.warc.gz"]).collect()
+    assert [(r["kind"], r["page_id"], r["payload"]) for r in out] == [("record", i, b"body %d \x1f\x8b\x08" % i) for i in range(5)]
+
+
 # ---- models ----------------------------------------------------------------------------------------------------------
 
 

@@ -1,15 +1,18 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every word from both sides.
 
-Words are hashed to `BUCKETS` buckets, counted over the whole corpus. The commonest buckets have an id of their own, the
+All different words are counted over the whole corpus in a written table, which grows with it. For the network they are
+hashed to `BUCKETS` buckets. The commonest buckets have an id of their own, the
 others share `SHARED` ids. Buckets in order of their counts are cut into classes of about equal mass; the network predicts
 the class of a masked word from the `SIDE` words before and after it (a tanh layer and a softmax), and a bucket's share of
-its class gives the rest:  p(word | sides) = p(class | sides) * p(bucket | class).  A document's score is the sum of the
-log-probabilities of its words, each given the words around it (a pseudo-log-likelihood); positions outside the document
-hold a border id.
+its class and a word's share of its bucket give the rest:  p(word | sides) = p(class | sides) * p(bucket | class) *
+p(word | bucket).  The words that the corpus does not hold have a share of each bucket, by its words of one occurrence
+(Good-Turing), and all of a bucket without words. A document's score is the sum of the log-probabilities of its words, each
+given the words around it (a pseudo-log-likelihood); positions outside the document hold a border id.
 
 Training is data-parallel over all documents: in each round every task starts from the same weights, runs over the round's
 share of the positions of all its documents, and sends its weights; their mean by the number of positions starts the next
-round. The rounds deal the positions out by a hash, so every word of every document is a target in exactly one of them. What is sent grows with the number of tasks, so with the input; the model does not.
+round. The rounds deal the positions out by a hash, so every word of every document is a target in exactly one of them. What is sent grows with the number of tasks, so with the input; the network does not. Scoring has the shares of the
+`FREQUENT` commonest words in each task and joins the other words to the table.
 
 Null, empty and blank texts have no words: n_tokens 0, score 0, no mean. Repeated rows each get a row; an empty table gives
 no rows (and an untrained model); columns other than key and text are not read.
@@ -26,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import tidy, tidy_group
+from kinfold.llm.common import save, tidy, tidy_group
 from kinfold.llm.tokens import text_runs
 
 BUCKETS = 1 << 15
@@ -39,27 +42,36 @@ RATE = 0.05
 BATCH = 512
 #: Added to each bucket's count.
 SMOOTH = 0.1
+#: Words whose shares are sent to all tasks; the others are looked up by a join, with the same result.
+FREQUENT = 1 << 16
 RUN = 4_000_000
 SEED = 11
 
 
-def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each word, where each text's words begin and the last's end)."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-    coded = split.values.dictionary_encode()
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(the different words and their buckets, index of each word, where each text's words begin and the last's end)."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    coded = parts.values.dictionary_encode()
     index = coded.indices.to_numpy()
     names = coded.dictionary.to_numpy(zero_copy_only=False)
     own = (pd.util.hash_array(names, categorize=False) % BUCKETS).astype(np.int64) if len(names) else np.zeros(0, np.int64)
     blank = np.flatnonzero(names == "") if len(names) else []
     real = index != blank[0] if len(blank) else np.ones(len(index), bool)
-    at = np.concatenate([[0], np.cumsum(real)])[split.offsets.to_numpy()]
-    return own[index[real]], at
+    at = np.concatenate([[0], np.cumsum(real)])[parts.offsets.to_numpy()]
+    return coded.dictionary, own, index[real], at
+
+
+def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each word, where each text's words begin and the last's end)."""
+    _, own, index, at = split(texts)
+    return own[index], at
 
 
 class Vocabulary:
     """Ids, classes and in-class log-probabilities of buckets, from their counts."""
 
     def __init__(self, counts: np.ndarray):
+        self.empty = counts == 0
         smooth = counts + SMOOTH
         order = np.argsort(-smooth, kind="stable")
         self.ids = (OWN + np.arange(BUCKETS) % SHARED).astype(np.int64)
@@ -124,6 +136,7 @@ class Scorer:
         self.v, self.net = vocabulary, network
         #: How many words were targets in training.
         self.trained = 0
+        self.words: Words | None = None
         self.parts: list[np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
@@ -173,27 +186,57 @@ def targets(bucket: np.ndarray, at: np.ndarray, turn: int, rounds: int) -> np.nd
     return np.flatnonzero((bucket * 31 + place * 17 + turn) % rounds == 0)
 
 
-def count_words(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each bucket occurs in the corpus."""
+class Words:
+    """The corpus' words: `table` (word, bucket, n, share: log of the word's share of its bucket's occurrences), the share
+    of unknown words, and the commonest words with their shares for the tasks."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        n, once = table.agg(F.sum("n"), F.sum((F.col("n") == 1).cast("long"))).first()
+        unknown = ((once or 0) + 1) / ((n or 0) + 2)
+        self.known, self.unknown = float(np.log1p(-unknown)), float(np.log(unknown))
+        # FREQUENT rows
+        top = table.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "share").collect()
+        self.names, self.shares = pa.array([r[0] for r in top], pa.large_string()), np.array([r[1] for r in top], np.float64) + self.known
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def local(self, names: pa.Array) -> np.ndarray:
+        """Log shares of the words of `names` that are frequent; NaN for others."""
+        if not len(self.names):
+            return np.full(len(names), np.nan)
+        place = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False)
+        return np.where(place >= 0, self.shares[place], np.nan)
+
+
+def count_words(docs: DataFrame, text: str = "text") -> tuple[Words, np.ndarray]:
+    """The words of the corpus, and how often each bucket occurs in it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for _, rows in text_runs(batch, most=RUN):
-                c += np.bincount(buckets(rows.column("text"))[0], minlength=BUCKETS)
-        yield pa.RecordBatch.from_pydict({"bucket": np.arange(BUCKETS), "n": c})
-
+                names, own, index, _ = split(rows.column("text"))
+                n = np.bincount(index, minlength=len(names))
+                used = pa.array(np.flatnonzero(n))
+                yield pa.RecordBatch.from_arrays([names.take(used).cast(pa.string()), pa.array(own).take(used), pa.array(n).take(used)], ["word", "bucket", "n"])
+
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(tidy(count), "word string, bucket long, n long")
+    counted = save(counted.groupBy("word", "bucket").agg(F.sum("n").alias("n")), "lm-counts")
+    sums = counted.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
     out = np.zeros(BUCKETS, np.int64)
     # BUCKETS rows
-    for r in docs.select(F.col(text).alias("text")).mapInArrow(tidy(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
-    return out
+    for r in sums.collect():
+        out[r["bucket"]] = r["in_bucket"]
+    table = counted.join(F.broadcast(sums), "bucket").select("word", "bucket", "n", F.log(F.col("n") / F.col("in_bucket")).alias("share"))
+    return Words(save(table, "lm-words")), out
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_size: int = BATCH) -> Scorer:
-    """Fit to all documents. The driver holds counts and weights only, of fixed size."""
+    """Fit to all documents. The driver holds counts of buckets, frequent words and weights only, of fixed size."""
     spark = docs.sparkSession
-    vocabulary = Vocabulary(count_words(docs, text))
+    words, counts = count_words(docs, text)
+    vocabulary = Vocabulary(counts)
     network = Network(vocabulary.prior)
     size, chunk, trained = len(network.flat()), 4096, 0
     for turn in range(rounds):
@@ -232,22 +275,32 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_size:
             network.load(np.concatenate([np.frombuffer(r["w"], np.float32) for r in got]))
             trained += got[0]["seen"]
     scorer = Scorer(vocabulary, network)
-    scorer.trained = trained
+    scorer.trained, scorer.words = trained, words
     return scorer
 
 
 def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, log_likelihood (sum over all words), mean_log_prob of every row, in one pass without a shuffle."""
+    """key, n_tokens, log_likelihood (sum over all words), mean_log_prob of every row. Texts are not shuffled, only their
+    words that are not frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
         for batch in batches:
             for _, rows in text_runs(batch, most=RUN):
-                bucket, at = buckets(rows.column("text"))
-                run = np.concatenate([[0.0], np.cumsum(shared.value.log_probs(bucket, at))])
-                n, total = np.diff(at), run[at[1:]] - run[at[:-1]]
-                mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(n.astype(np.int64)), pa.array(total), mean], ["key", "n_tokens", "log_likelihood", "mean_log_prob"])
+                names, bucket, index, at = split(rows.column("text"))
+                share = np.where(s.v.empty[bucket], 0.0, s.words.local(names))
+                rare = np.isnan(share)[index]
+                run = np.concatenate([[0.0], np.cumsum(s.log_probs(bucket[index], at) + np.nan_to_num(share)[index])])
+                cut = np.concatenate([[0], np.cumsum(rare)])[at]
+                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), names.take(pa.array(index[rare])).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(np.diff(at).astype(np.int64)), pa.array(run[at[1:]] - run[at[:-1]]), lists], ["key", "n_tokens", "part", "rare"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(tidy(own), "key long, n_tokens long, log_likelihood double, mean_log_prob double").withColumnRenamed("key", key)
+    parts = rows.mapInArrow(tidy(own), "key long, n_tokens long, part double, rare array<string>")
+    parts = save(parts.withColumn("row", F.monotonically_increasing_id()), "lm-parts")
+    rare = parts.select("row", F.explode("rare").alias("word")).join(scorer.words.table.select("word", "share"), "word", "left")
+    rest = rare.groupBy("row").agg(F.sum(F.coalesce(F.col("share") + scorer.words.known, F.lit(scorer.words.unknown))).alias("rest"))
+    total = F.col("part") + F.coalesce("rest", F.lit(0.0))
+    out = parts.drop("rare").join(rest, "row", "left").select("key", "n_tokens", total.alias("log_likelihood"))
+    return out.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))).withColumnRenamed("key", key)

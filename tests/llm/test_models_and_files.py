@@ -330,6 +330,28 @@ def test_pseudo_likelihood_trains_on_every_word(spark):
     assert lm.train(docs).trained == 31 * 60
 
 
+def test_pseudo_likelihood_knows_words_apart_in_a_bucket(spark, monkeypatch):
+    texts, docs = lm_corpus(spark, 60)
+    of = lambda w: int(lm.buckets(pa.array([w]))[0][0])
+    names = [f"j{i}" for i in range(300_000)]
+    same = np.array(names)[lm.buckets(pa.array([" ".join(names)]))[0] == of("w7")].tolist()
+    rare, junk = same[:2]
+    corpus = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(9000, f"{rare} w1")], "doc_id long, text string"))
+    asked = spark.createDataFrame([(i, f"w3 {w} w9") for i, w in enumerate(("w7", rare, junk))], "doc_id long, text string")
+    count = Counter(" ".join([*texts, texts[0], f"{rare} w1"]).split())
+    unknown = (sum(n == 1 for n in count.values()) + 1) / (sum(count.values()) + 2)
+    in_bucket = sum(n for w, n in count.items() if of(w) == of("w7"))
+    share = [(1 - unknown) * count["w7"] / in_bucket, (1 - unknown) / in_bucket, unknown]
+    got = []
+    for most in (lm.FREQUENT, 10):
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        scorer = lm.train(corpus)
+        assert scorer.words.table.count() == len(count) and len(scorer.words.names) == min(most, len(count))
+        got.append([r["log_likelihood"] for r in lm.score(asked, scorer).orderBy("doc_id").collect()])
+    # the network sees the same bucket, so only the shares of the bucket differ
+    assert got[0] == pytest.approx(got[1]) and np.diff(got[0]) == pytest.approx(np.diff(np.log(share)))
+
+
 # ---- registry and pipeline -------------------------------------------------------------------------------------------
 
 

@@ -5,9 +5,11 @@ The trees are fitted on the driver on a bounded sample of the different vectors
 their margins through one shared queue until the leaves it has seen hold `share` of all vectors (by their counts, trees
 taken as independent); all vectors in these leaves are reranked exactly, in double precision.
 
-Equal vectors are indexed once, with the smallest of their ids, so copies cost nothing and cannot crowd a leaf. Vectors
-that are null, zero, of another length than most, or hold null or non-finite components take no part; null ids neither.
-Rows repeated in full count once; ties go to the smaller id; an empty table gives no rows; other columns are not read.
+Vectors of one direction have the same cosines: they are indexed once, by the one of the smallest id and with the smallest
+of their ids, so copies and multiples cost nothing and cannot crowd a leaf. Index and queries meet block by block in one
+shuffle; a block's vectors are held, its queries stream past them. Scores that agree to ten digits count as equal where
+candidates are cut, and to twelve in the ranks, so that ties go to the smaller id whatever the rounding. Vectors zero, of another length than most, or hold null or non-finite components take no part; null ids neither.
+Rows repeated in full count once; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,14 +26,13 @@ from pyspark.sql import functions as F
 from kinfold.llm.common import partitions, save
 
 TREES = 8
-SHARE = 0.6
-LEAF_ROWS = 200
+SHARE = 0.7
+LEAF_ROWS = 64
 MOST_LEAVES = 4096
 SAMPLE_OF_LEAF = 20
-#: Vectors that are searched in whole.
-FEW = 3000
 BLOCK_ROWS = 40_000
-QUERIES_OF_BLOCK = 20_000
+#: Rows of a block that are compared with a run of queries at a time.
+STRIPE = 1000
 SEED = 7
 
 
@@ -127,11 +128,73 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def direction(v: Column) -> Column:
+    """Equal for vectors of equal direction: the components by the largest one's size, to twelve digits."""
+    most = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    return F.transform(v, lambda x: F.round(x / most, 12) + F.lit(0.0))
+
+
 def different(rows: DataFrame, keep: int) -> DataFrame:
-    """vid, ids (the `keep` smallest), vec of each different vector."""
-    # the rank filter also runs before the shuffle, so a vector shared by very many rows sends few
-    ranked = rows.distinct().withColumn("r", F.row_number().over(W.partitionBy("vec").orderBy("id"))).where(F.col("r") <= keep)
-    return ranked.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("vid"), "ids", "vec")
+    """vid, ids (the `keep` smallest), vec (that of vid) of each direction."""
+    # the rank filter also runs before the shuffle, so a direction shared by very many rows sends few
+    of = rows.withColumn("way", direction(F.col("vec")))
+    ranked = of.withColumn("r", F.dense_rank().over(W.partitionBy("way").orderBy("id"))).where(F.col("r") <= keep)
+    return ranked.groupBy("way").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.min(F.struct("id", "vec"))["vec"].alias("vec")).select(F.col("ids")[0].alias("vid"), "ids", "vec")
+
+
+def nearest(q: np.ndarray, r: np.ndarray, vid: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in r, cosines) of the `most` nearest rows of each query, ties to the smaller vid."""
+    by_id = np.argsort(vid, kind="stable")
+    qn, rn = np.linalg.norm(q, axis=1), np.linalg.norm(r, axis=1)
+    places, scores = [], []
+    for a in range(0, len(by_id), STRIPE):
+        at = by_id[a : a + STRIPE]
+        s = (q @ r[at].T) / qn[:, None] / rn[at]
+        cut = np.round(s, 10) - np.arange(len(at)) * 1e-14  # STRIPE * 1e-14 is less than a step of the rounding
+        top = np.argpartition(-cut, min(most, len(at)) - 1, axis=1)[:, :most]
+        places.append(at[top]), scores.append(np.take_along_axis(s, top, 1))
+    place, score = np.concatenate(places, axis=1), np.concatenate(scores, axis=1)
+    if place.shape[1] > most:
+        order = np.lexsort((vid[place], -np.round(score, 10)), axis=1)[:, :most]
+        place, score = np.take_along_axis(place, order, 1), np.take_along_axis(score, order, 1)
+    return place, score
+
+
+class Block:
+    """The index rows of a block, by leaf."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        held = pa.Table.from_batches(parts).combine_chunks()
+        self.vec, self.vid, self.ids = matrix(held.column("vec").combine_chunks()), held.column("vid").to_numpy(), held.column("ids")
+        leaf = held.column("leaf").to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        names, first = np.unique(leaf[order], return_index=True)
+        self.members = dict(zip(names.tolist(), np.split(order, first[1:]), strict=True)) if len(names) else {}
+
+    def search(self, query_id: np.ndarray, q: np.ndarray, leaves: list[list[int]], most: int) -> pa.RecordBatch:
+        """The `most` nearest of each query in the leaves that it asks for."""
+        by_leaf: dict[int, list[int]] = {}
+        for i, wanted in enumerate(leaves):
+            for x in wanted:
+                by_leaf.setdefault(x, []).append(i)
+        who, place, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for x, asks in by_leaf.items():
+            if (at := self.members.get(x)) is not None:
+                w = np.array(asks)
+                near, s = nearest(q[w], self.vec[at], self.vid[at], most)
+                who.append(np.repeat(w, near.shape[1])), place.append(at[near].ravel()), score.append(s.ravel())
+        who, place, score = np.concatenate(who), np.concatenate(place), np.concatenate(score)
+        order = np.lexsort((self.vid[place], -np.round(score, 10), who))
+        who, place = who[order], place[order]
+        # a vector is in several trees: once for each query
+        _, once = np.unique(who * (len(self.vid) + 1) + np.unique(self.vid, return_inverse=True)[1][place], return_index=True)
+        once.sort()
+        who, place = who[once], place[once]
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        rank = np.arange(len(who)) - np.repeat(first, np.diff(first, append=len(who)))
+        who, place = who[rank < most], place[rank < most]
+        exact = (self.vec[place] * q[who]).sum(axis=1) / (np.linalg.norm(self.vec[place], axis=1) * np.linalg.norm(q[who], axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(query_id[who]), pa.array(self.vid[place]), self.ids.take(pa.array(place)).combine_chunks(), pa.array(exact)], ["query_id", "vid", "ids", "score"])
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", share: float = SHARE, trees: int = TREES) -> DataFrame:
@@ -145,12 +208,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     rows = rows.where(F.size("vec") == lengths["d"])
     base = save(different(rows.select("id", "vec"), k + 1), "vectors")
     n = base.count()
-    leaves = 1 if n <= FEW else min(MOST_LEAVES, max(64, n // LEAF_ROWS))
+    leaves = min(MOST_LEAVES, max(1, n // LEAF_ROWS))
     # SAMPLE_OF_LEAF * MOST_LEAVES rows at most
     sample = base.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE_OF_LEAF * leaves).select("vec").toArrow()
-    forest = Forest(unit(matrix(sample.column(0).combine_chunks())), leaves, 1 if leaves == 1 else trees)
+    forest = Forest(unit(matrix(sample.column(0).combine_chunks())), leaves, trees)
     shared = spark.sparkContext.broadcast(forest)
-    n_blocks = max(partitions(spark) if n > FEW else 1, n * len(forest.roots) // BLOCK_ROWS)
+    n_blocks = max(1, min(forest.n_leaves, max(partitions(spark), n * trees // BLOCK_ROWS)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(shared.value.n_leaves, np.int64)
@@ -164,7 +227,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     for r in counted:
         counts[r["leaf"]] = r["n"]
     queries = save(rows.where("asks").select("id", "vec").distinct(), "queries")
-    waves = max(1, -(-queries.count() // QUERIES_OF_BLOCK))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,55 +240,41 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
         for b in batches:
             blocks, owners, lists = [], [], []
             for i, v in enumerate(unit(matrix(b.column("vec")))):
-                found = np.array(f.search(v, counts, share if n > FEW else 1.0, 10 * k))
+                found = np.array(f.search(v, counts, share, 10 * k))
                 found = found[np.argsort(found % n_blocks, kind="stable")]
                 cut = np.flatnonzero(np.diff(found % n_blocks)) + 1
                 for part in np.split(found, cut):
                     blocks.append(part[0] % n_blocks), owners.append(i), lists.append(part)
             take = pa.array(np.array(owners, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), b.column("id").take(take), b.column("vec").take(take), pa.array(lists, pa.list_(pa.int64()))], ["block", "query_id", "qvec", "leaves"])
-
-    def rerank(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vid": [], "ids": [], "score": []}
-        if len(asked) and len(held):
-            q, r = matrix(asked.column("qvec").combine_chunks()), matrix(held.column("vec").combine_chunks())
-            qn, rn = np.linalg.norm(q, axis=1), np.linalg.norm(r, axis=1)
-            leaf, vid, ids = held.column("leaf").to_numpy(), held.column("vid").to_numpy(), held.column("ids").to_pylist()
-            order = np.argsort(leaf, kind="stable")
-            names, first = np.unique(leaf[order], return_index=True)
-            members = dict(zip(names.tolist(), np.split(order, first[1:]), strict=True))
-            by_leaf: dict[int, list[int]] = {}
-            for i, wanted in enumerate(asked.column("leaves").to_pylist()):
-                for x in wanted:
-                    by_leaf.setdefault(x, []).append(i)
-            best: dict[int, list] = {}
-            most = k + 4
-            for x, who in by_leaf.items():
-                at = members.get(x)
-                if at is None:
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), b.column("id").take(take), b.column("vec").take(take), pa.array(lists, pa.list_(pa.int64()))], ["block", "vid", "vec", "leaves"])
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, ready = None, [], None
+        for b in batches:
+            blocks, asks = b.column("block").to_numpy(), b.column("leaf").is_null().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(blocks * 2 + asks)) + 1
+            for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)], strict=True):
+                if e == a:
+                    continue
+                if blocks[a] != block:
+                    block, held, ready = blocks[a], [], None
+                if not asks[a]:
+                    held.append(b.slice(a, e - a))
                     continue
-                for a in range(0, len(who), 2000):
-                    w = np.array(who[a : a + 2000])
-                    s = (q[w] @ r[at].T) / qn[w, None] / rn[at]
-                    top = np.argpartition(-s, min(most, s.shape[1]) - 1, axis=1)[:, :most]
-                    near = np.take_along_axis(s, top, 1)
-                    for i, t, v in zip(w.tolist(), at[top], near, strict=True):
-                        best.setdefault(i, []).append((t, v))
-            for i, parts in best.items():
-                t = np.concatenate([p[0] for p in parts])
-                v = np.concatenate([p[1] for p in parts])
-                t = np.unique(t[np.argsort(-v, kind="stable")[: most * TREES]])
-                exact = (r[t] * q[i]).sum(axis=1) / (rn[t] * qn[i])
-                for j in np.lexsort((vid[t], -exact))[:most]:
-                    for c, value in zip(out, (asked["query_id"][i].as_py(), int(vid[t[j]]), ids[t[j]], float(exact[j])), strict=True):
-                        out[c].append(value)
-        return pa.table(out, pa.schema([("query_id", pa.int64()), ("vid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())]))
-
-    wave = lambda c: F.pmod(F.xxhash64(c), F.lit(waves))
-    indexed = base.mapInArrow(index, "block long, leaf long, vid long, ids array<long>, vec array<double>").withColumn("wave", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(waves - 1).cast("long"))))
-    asked = queries.mapInArrow(ask, "block long, query_id long, qvec array<double>, leaves array<long>").withColumn("wave", wave("query_id"))
-    near = asked.groupBy("block", "wave").cogroup(indexed.groupBy("block", "wave")).applyInArrow(rerank, "query_id long, vid long, ids array<long>, score double")
+                if ready is None:
+                    ready, held = Block(held) if held else False, []
+                if ready:
+                    part = b.slice(a, e - a)
+                    yield ready.search(part.column("vid").to_numpy(), matrix(part.column("vec")), part.column("leaves").to_pylist(), k + 4)
+
+    columns = ["block", "leaf", "vid", "ids", "vec", "leaves"]
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    indexed = base.mapInArrow(index, "block long, leaf long, vid long, ids array<long>, vec array<double>").withColumn("leaves", none("array<long>", "leaves")).select(columns)
+    asked = queries.mapInArrow(ask, "block long, vid long, vec array<double>, leaves array<long>").withColumns({"leaf": none("long", "leaf"), "ids": none("array<long>", "ids")}).select(columns)
+    # a block's index rows come before its queries
+    met = indexed.unionByName(asked).repartition(n_blocks, "block").sortWithinPartitions("block", F.col("leaf").isNull(), "vid")
+    near = met.mapInArrow(rerank, "query_id long, vid long, ids array<long>, score double")
     near = near.groupBy("query_id", "vid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     near = near.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

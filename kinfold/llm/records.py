@@ -6,8 +6,9 @@ so that a checksum of data that holds checksums stays sound. A payload is  u8 ve
 key is present | u8 0 | i64 key | u32 number of ids | ids. The index beside a shard has  u64 offset | u64 length | i64 key
 for each record, so that readers can fetch records in any order.
 
-Records are in ascending order of the key over all shards (null keys first, equal keys by text). Null texts are empty
-sequences (end id only); an empty table gives no shards; columns other than key and text are not read.
+Records are in ascending order of the key over all shards (null keys first, equal keys by a hash of the text, then the
+text). A task closes a shard beyond `SHARD_BYTES`, so shards and the indexes that tasks hold are bounded. Null texts are
+empty sequences (end id only); an empty table gives no shards; columns other than key and text are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from kinfold.llm.tokens import encoder, text_runs
 
 HEAD, TAIL, META = "<QI", "<I", "<BBBBqI"
 HEAD_SIZE, TAIL_SIZE, META_SIZE = map(struct.calcsize, (HEAD, TAIL, META))
+SHARD_BYTES = 64_000_000
 INDEX = np.dtype([("offset", "<u8"), ("length", "<u8"), ("key", "<i8")])
 
 
@@ -81,44 +83,51 @@ def crc_of(ids: np.ndarray) -> int:
 def write(docs: DataFrame, path: str | None, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 2) -> list[dict]:
     """Encode `text` of every row, append `end_id`, and write shards in ascending order of `key`.
 
-    One range shuffle of (key, text). Each attempt of a task writes files of its own name; only those of the attempt that
-    ended well enter the manifest, which is returned in order: shard, index, records, ids, and ids before the shard.
+    One range shuffle of (key, text); rows of one key are split by a hash of their text. Each attempt of a task writes files
+    of its own name; only those of the attempt that ended well enter the manifest, which is returned in order: shard, index,
+    records, ids, and ids before the shard. It has a row for each shard.
     """
     spark = docs.sparkSession
     root = path or new_path(spark, "records")
     fs, folder = filesystem(root)
     fs.create_dir(folder, recursive=True)
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, at, index, n_ids = encoder(tokenizer), None, 0, [], 0
+    def write_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, out, at, index, n_ids, turn = encoder(tokenizer), None, 0, [], 0, 0
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"
         files, base = filesystem(root)
         end = np.array([] if end_id is None else [end_id], enc.dtype)
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            with files.open_output_stream(f"{base}/{name}-{turn:04d}.idx") as f:
+                f.write(np.array(index, INDEX).tobytes())
+            return pa.RecordBatch.from_pydict({"part": [part], "turn": [turn], "shard": [f"{root}/{name}-{turn:04d}.rec"], "index": [f"{root}/{name}-{turn:04d}.idx"], "records": [len(index)], "ids": [n_ids]})
+
         for batch in batches:
             for _, rows in text_runs(batch):
-                if out is None:
-                    out = files.open_output_stream(f"{base}/{name}.rec")
                 ids, starts = enc.encode_arrow(rows.column("text"))
                 for k, a, b in zip(rows.column("key").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    if out is None:
+                        out = files.open_output_stream(f"{base}/{name}-{turn:04d}.rec")
                     own = np.concatenate([ids[a:b], end])
                     data = frame(pack_ids(k, own))
                     index.append((at, len(data), k or 0))
                     out.write(data)
                     at, n_ids = at + len(data), n_ids + len(own)
+                    if at > SHARD_BYTES:
+                        yield close()
+                        out, at, index, n_ids, turn = None, 0, [], 0, turn + 1
         if out is not None:
-            out.close()
-            with files.open_output_stream(f"{base}/{name}.idx") as f:
-                f.write(np.array(index, INDEX).tobytes())
-            yield pa.RecordBatch.from_pydict({"part": [part], "shard": [f"{root}/{name}.rec"], "index": [f"{root}/{name}.idx"], "records": [len(index)], "ids": [n_ids]})
+            yield close()
 
     n = partitions(spark)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(n, "key").sortWithinPartitions("key", F.col("text").asc_nulls_first())
-    # one row for each partition of the shuffle
-    found = ordered.mapInArrow(tidy(shard), "part long, shard string, index string, records long, ids long").collect()
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    ordered = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie", F.col("text").asc_nulls_first()).drop("tie")
+    found = ordered.mapInArrow(tidy(write_shards), "part long, turn long, shard string, index string, records long, ids long").collect()
     manifest, before = [], 0
-    for r in sorted(found, key=lambda r: r["part"]):
+    for r in sorted(found, key=lambda r: (r["part"], r["turn"])):
         manifest.append({**r.asDict(), "before": before})
         before += r["ids"]
     return manifest
@@ -157,7 +166,7 @@ def read(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     names = ["key", "start", "n_tokens", "ids_crc32", "shard", "offset"]
     arrow = pa.schema([(n, pa.string() if n == "shard" else pa.int64()) for n in names])
     shards = spark.createDataFrame([(m["shard"], m["before"]) for m in manifest], "shard string, before long")
-    return shards.repartition(len(manifest)).mapInArrow(tidy(records), schema)
+    return shards.repartition(min(len(manifest), partitions(spark))).mapInArrow(tidy(records), schema)
 
 
 def fetch(shard: str, offset: int, length: int) -> tuple[int | None, np.ndarray]:

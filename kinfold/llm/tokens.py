@@ -10,6 +10,7 @@ space at an end or with any but blanks and line feeds, and tokenizers of another
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,85 +22,107 @@ WHOLE = (
 )
 MOST_CACHED = 400_000
 CLOSING = frozenset(".,;:!?")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The byte-level vocabulary's character for each byte: printable ones stand for themselves, the others follow from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+#: Pieces that the library encodes as one text.
+JOINED = 200
 
 
 class Encoder:
-    """Ids of texts as numpy arrays of `dtype` (two bytes an id where the vocabulary allows)."""
+    """Ids of texts as numpy arrays of `dtype` (two bytes an id where the vocabulary allows), as the library gives them
+    with add_special_tokens=False; texts that hold an added token's string are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         conf = json.loads(self.tokenizer.to_str())
         pre = conf.get("pre_tokenizer") or {}
         self.pieces = conf["model"]["type"] == "BPE" and conf.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and not pre.get("add_prefix_space")
-        #: In a byte-level vocabulary each character of a token stands for one byte.
+        self.added = {t["content"] for t in conf.get("added_tokens") or []}
+        self.whole = "|".join([WHOLE, *(re.sub(r"([^A-Za-z0-9])", r"\\\1", t) for t in sorted(self.added))])
+        #: In a byte-level vocabulary each character of a token stands for one byte; an added token is its own string.
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        #: Tokens that begin with the white space before a piece.
+        self.first = np.zeros(len(self.n_bytes), bool)
         for token, i in vocab.items():
-            self.n_bytes[i] = len(token)
-        self.letters = _byte_letters()
-        self.alone = {c: np.array([vocab[c]], self.dtype).tobytes() for c in CLOSING if c in vocab}
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a blank and letters, which the pre-tokenizer keeps together."""
-        ids = self.cache.get(word)  # a piece of letters only is such a word
-        if ids is None:
-            raw = "Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
-            ids = self.cache[word] = np.array([x.id for x in self.model.tokenize(raw)], self.dtype).tobytes()
-        return ids
+            self.n_bytes[i] = len(token.encode()) if token in self.added else len(token)
+            self.first[i] = token[:1] in "ĠĊ" and token not in self.added
+        self.alone = {c: vocab[c] for c in CLOSING if c in vocab}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the table of pieces: their numbers, and the ids of piece k at flat[begin[k] : begin[k] + size[k]]."""
+        self.cache = {"": 0}
+        self.flat, self.begin, self.size = np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        if self.pieces:
+            self._add(["\n"], *self._joined(["\n"]))
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of pieces, encoded as texts of many; a piece begins at each token that begins with its white
+        space, as pieces hold no other."""
+        marked = [p if p[0] == "\n" else " " + p for p in pieces]
+        ids = np.concatenate([np.zeros(0, self.dtype), *self._whole(["".join(marked[a : a + JOINED]) for a in range(0, len(marked), JOINED)])])
+        starts = np.flatnonzero(self.first[ids])
+        if len(starts) != len(pieces) or len(ids) and starts[0]:
+            parts = self._whole(marked)  # a vocabulary of another kind
+            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, np.diff(starts, append=len(ids))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.begin)
+        self.cache.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _gather(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces one after another, where each ends)."""
+        sizes = self.size[pieces]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.begin[pieces] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.flat[at], ends
 
     def _learn(self, pieces: list[str]) -> None:
-        cache, alone, rest = self.cache, self.alone, []
-        for p in pieces:
-            if p.isalpha():
-                self._word(p)
-            elif p[-1] in alone and p[:-1].isalpha():
-                cache[p] = self._word(p[:-1]) + alone[p[-1]]
-            else:
-                rest.append(p)
-        for p, ids in zip(rest, self._whole([p if p[0] == "\n" else " " + p for p in rest]), strict=True):
-            cache[p] = ids
+        cache, alone = self.cache, self.alone
+        closed = [p for p in pieces if p[-1] in alone and p[:-1].isalpha()]
+        # closing punctuation after letters is a token of its own
+        rest = {p[:-1] for p in closed}.union(p for p in pieces if not (p[-1] in alone and p[:-1].isalpha()))
+        rest = [p for p in rest if p not in cache]
+        if rest:
+            self._add(rest, *self._joined(rest))
+        if closed:
+            own, ends = self._gather(np.array([cache[p[:-1]] for p in closed], np.int64))
+            marks = np.array([alone[p[-1]] for p in closed], self.dtype)
+            self._add(closed, np.insert(own, ends, marks), np.diff(ends, prepend=0) + 1)
 
     def encode_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end); null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
-        whole = pc.match_substring_regex(texts, WHOLE) if self.pieces else pa.array(np.ones(n, bool))
+        whole = pc.match_substring_regex(texts, self.whole) if self.pieces else pa.array(np.ones(n, bool))
         odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         if len(odd):
             by_hand = self._whole(texts.take(pa.array(odd)).to_pylist())
             texts = pc.if_else(whole, pa.scalar("", pa.large_string()), texts)
+        if not self.pieces:
+            return np.concatenate([np.zeros(0, self.dtype), *by_hand]), np.concatenate([[0], np.cumsum([len(x) for x in by_hand])]).astype(np.int64)
         if len(self.cache) > MOST_CACHED:
-            self.cache = {"": b""}
+            self._forget()
         marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), texts, pa.scalar("", pa.large_string())), "\n", " \n")
         split = pc.split_pattern(marked, " ")
         coded = split.values.dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        got = list(map(self.cache.get, own))
-        new = [p for p, g in zip(own, got, strict=True) if g is None]
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [p for p in own if p not in self.cache]
         if new:
             self._learn(new)
-            got = list(map(self.cache.__getitem__, own))
-        size = self.dtype.itemsize
-        lists = pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, got)]) // size, np.frombuffer(b"".join(got), self.dtype))
-        taken = lists.take(coded.indices)
-        ids, ends = taken.values.to_numpy(), taken.offsets.to_numpy()
-        starts = ends[split.offsets.to_numpy()]
+        places = np.fromiter(map(self.cache.__getitem__, own), np.int64, len(own))
+        ids, ends = self._gather(places[coded.indices.to_numpy()])
+        starts = np.concatenate([[0], ends])[split.offsets.to_numpy()]
         keep = np.ones(len(ids), bool)
         keep[starts[:-1]] = False  # the line feed put before each text
         ids, starts = ids[keep], starts - np.arange(n + 1)
@@ -107,9 +130,9 @@ class Encoder:
             parts, at = [], 0
             counts = np.diff(starts)
             for i, raw in zip(odd.tolist(), by_hand, strict=True):
-                parts += [ids[starts[at] : starts[i]], np.frombuffer(raw, self.dtype)]
+                parts += [ids[starts[at] : starts[i]], raw]
                 at = i
-                counts[i] = len(parts[-1])
+                counts[i] = len(raw)
             ids = np.concatenate([*parts, ids[starts[at] :]])
             starts = np.concatenate([[0], np.cumsum(counts)])
         return ids, starts

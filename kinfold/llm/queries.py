@@ -82,4 +82,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_mix_curriculum": mixing.SQL}
+ORACLES: dict[str, str] = {"op3_mix_curriculum": mixing.SQL, "op5_warc_salvage": warc.SQL}

@@ -6,7 +6,8 @@ are revisits that carry its record id, their own payload's digest and length, an
 Reader: checks each record (version line, lengths, closing lines, block and payload digests, gzip checksum). After a
 failed check it looks for the next place where a member or a version line begins and a whole record checks, goes on from
 there, and logs the bytes between as a quarantined gap. A member may hold any number of records; they are checked and
-salvaged one by one in its content. Nothing raises for bad bytes.
+salvaged one by one in its content. Digests by another algorithm than SHA-1, or none, are not judged. Nothing raises for bad
+bytes: what is not a number of 64 bits in ASCII digits is none, so another page id is null.
 
 Null html is an empty payload; a null id counts as the smallest; rows repeated in full get the same kind of record each;
 an empty table gives no archives; other columns are not read.
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import filesystem, new_path
+from kinfold.llm.common import filesystem, new_path, partitions
 
 MOST_SHARD = 64_000_000
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -35,6 +36,14 @@ START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 BLANK = re.compile(rb"\r\n\r\n")
 
 
+NUMBER = re.compile(r"-?[0-9]{1,19}")
+
+
+def number(x: str | None) -> int | None:
+    n = int(x) if x and NUMBER.fullmatch(x) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
 class Damaged(ValueError):
     """A record that fails a check."""
 
@@ -43,6 +52,15 @@ def digest32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
+def sha1_of(header: str | None) -> str:
+    """The digest of a header by SHA-1, in base32 (which some writers give in hexadecimal); empty for others."""
+    kind, _, value = (header or "").partition(":")
+    if kind.strip().lower() not in ("sha1", "sha-1"):
+        return ""
+    value = value.strip().upper()
+    return digest32(bytes.fromhex(value)) if re.fullmatch(r"[0-9A-F]{40}", value) else value
+
+
 def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
 
@@ -85,15 +103,15 @@ def parse(raw: bytes | memoryview) -> tuple[dict, bytes, int]:
         if not colon:
             raise Damaged("a header line without a colon")
         head[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    length = head.get("content-length", "")
-    if not length.isdigit():
+    length = number(head.get("content-length"))
+    if length is None or length < 0:
         raise Damaged("no content length")
-    stop = end + 4 + int(length)
+    stop = end + 4 + length
     if len(raw) < stop + 4 or bytes(raw[stop : stop + 4]) != b"\r\n\r\n":
         raise Damaged("a block cut or without its end")
     block = bytes(raw[end + 4 : stop])
-    said = head.get("warc-block-digest")
-    if said and said != f"sha1:{digest32(hashlib.sha1(block).digest())}":
+    said = sha1_of(head.get("warc-block-digest"))
+    if said and said != digest32(hashlib.sha1(block).digest()):
         raise Damaged("wrong block digest")
     return head, block, stop + 4
 
@@ -214,17 +232,16 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
         fs, name = filesystem(file)
         with fs.open_input_file(name) as f:
             data = f.read_buffer()
-        number = lambda x: int(x) if x else None
         for start, end, head, block, reason in salvage(memoryview(data)):
             row = {"kind": "gap", "path": file, "start": start, "end": end, "reason": reason or None}
             if head is not None:
                 http, _, payload = block.partition(b"\r\n\r\n")
-                digest = head.get("warc-payload-digest", "").removeprefix("sha1:")
+                digest = sha1_of(head.get("warc-payload-digest"))
                 kind = head.get("warc-type")
-                said = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
+                said = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)", http)
                 row |= {"kind": "record", "record_type": kind, "page_id": number(head.get("x-page-id")), "url": head.get("warc-target-uri")}
                 if kind == "revisit":
-                    row |= {"payload_bytes": int(said[1]) if said else None, "payload_digest": digest, "refers_to": number(head.get("x-refers-to-page-id"))}
+                    row |= {"payload_bytes": number(said[1].decode()) if said else None, "payload_digest": digest or head.get("warc-payload-digest"), "refers_to": number(head.get("x-refers-to-page-id"))}
                 else:
                     real = digest32(hashlib.sha1(payload).digest())
                     if digest and real != digest:
@@ -248,4 +265,17 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     arrow = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in schema.split(", "))])
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths)).mapInArrow(batches, schema)
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    return files.repartition(min(len(paths), 8 * partitions(spark))).mapInArrow(batches, schema)
+
+
+#: DuckDB SQL for page_id, payload_bytes, payload_digest, record_type, refers_to of the records over the table `pages`. A
+#: fifth of the digest's 40 hexadecimal digits is 20 bits, four characters of base32.
+SQL = """
+WITH d AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS last FROM d GROUP BY h),
+r AS (SELECT d.*, CASE WHEN page_id IS NULL OR page_id < last THEN last END AS refers_to FROM d JOIN m USING (h))
+SELECT page_id, n AS payload_bytes, refers_to, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest
+FROM r
+"""

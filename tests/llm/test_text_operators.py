@@ -13,14 +13,20 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from kinfold.llm import attribution, components, jaccard, mixing, packing, records, sketch
+from kinfold.llm import attribution, components, jaccard, mixing, packing, records, sketch, tokens
 from kinfold.llm.tokens import default_path, encoder, text_runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, copies string, k string, key string"
 
 
+def library():
+    """The tokenizers library itself, as the operators' contract calls it."""
+    return Tokenizer.from_file(default_path())
+
+
 def made(seed, n=120):
     """Texts with families of near copies, odd white space, nulls and blanks."""
     rng = random.Random(seed)
@@ -32,7 +38,7 @@ def made(seed, n=120):
         for _ in range(rng.choice([0, 0, 1, 2, 5])):
             w[rng.randrange(len(w))] = rng.choice(vocab)
         texts.append(rng.choice([" ", "\n", "  ", "\t"]).join(w))
-    return [*texts, None, "", " \n", "one", "One", "a b c d", texts[0], "x" * 30_000, "pad " * 3000]
+    return [*texts, None, "", " \n", "one", "One", "a b c d", texts[0], "x" * 30_000, "pad " * 3000, "a <|endoftext|> b", "a<|endoftext|>", "é.\nZ, q! (b).c"]
 
 
 def frame(spark, texts, ids=None):
@@ -68,9 +74,19 @@ def brute_components(sets):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from(list("ab  \n\n,.'st1é日\t🙂_<|>xB\xa0")), max_size=40), max_size=4))
 def test_encoder_equals_library(texts):
-    enc = encoder(default_path())
+    enc, lib = encoder(default_path()), library()
+    texts = [*texts, *(t + "<|endoftext|>" + t for t in texts[:1])]
     for t, ids in zip(texts, enc.encode(texts), strict=True):
-        assert ids.tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_CACHED", 50)
+    enc, lib = tokens.Encoder(default_path()), library()
+    for seed in range(4):
+        texts = made(seed)
+        assert [x.tolist() for x in enc.encode(texts)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(enc.cache) < 2000
 
 
 def test_encoder_on_slices():
@@ -81,7 +97,8 @@ def test_encoder_on_slices():
     for _, run in text_runs(batch, most=2000):
         ids, at = enc.encode_arrow(run.column("text"))
         got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
-    assert got == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    lib = library()
+    assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("most", [jaccard.MOST, 7])
@@ -144,12 +161,15 @@ def test_components(spark):
     assert out == {a: min(s) for a, s in up.items() if len(s) > 1}
 
 
-def test_records_round_trip(spark):
+@pytest.mark.parametrize("most", [records.SHARD_BYTES, 3000])
+def test_records_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(records, "SHARD_BYTES", most)
     texts = made(6)
     ids = [*range(len(texts) - 2), None, 3]
     manifest = records.write(frame(spark, texts, ids), None, default_path())
-    enc = encoder(default_path()).tokenizer
-    order = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    enc = library()
+    tie = {r["text"]: r["t"] for r in frame(spark, texts).select("text", F.xxhash64("text").alias("t")).collect()}
+    order = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
     rows = records.read(spark, manifest).orderBy("start", F.col("n_tokens")).collect()
     start = 0
     for (i, t), r in zip(order, rows, strict=True):
@@ -172,7 +192,7 @@ def test_records_detect_damage():
 
 
 def packed(rows, texts, ids, capacity):
-    enc = encoder(default_path()).tokenizer
+    enc = library()
     own = defaultdict(list)
     for i, t in zip(ids, texts, strict=True):
         own[i].append([*enc.encode(t or "", add_special_tokens=False).ids, 0])
@@ -304,15 +324,15 @@ def test_attribution(spark, rule):
     out = defaultdict(list)
     for r in attribution.by_line(frame(spark, texts), default_path(), rule).collect():
         out[r["doc_id"]].append(r)
-    tok = encoder(default_path())
+    tok = library()
     for i, t in enumerate(texts):
         t = t or ""
-        ids = tok.encode([t])[0]
+        spans = tok.encode(t, add_special_tokens=False).offsets
         rows = sorted(out[i], key=lambda r: r["section"])
-        assert math.isclose(sum(r["n_tokens"] for r in rows), len(ids)) and sum(r["n_chars"] for r in rows) == len(t)
+        assert math.isclose(sum(r["n_tokens"] for r in rows), len(spans)) and sum(r["n_chars"] for r in rows) == len(t)
         owner = [k for k, r in enumerate(rows) for _ in range(r["n_chars"])]
         want = [0.0] * len(rows)
-        for a, b in zip(*tok.spans(t, ids), strict=True):
+        for a, b in spans:
             held = Counter(owner[a:b])
             if rule == "start":
                 want[owner[a]] += 1
@@ -330,5 +350,5 @@ def test_attribution_by_field(spark):
     rows = spark.createDataFrame([(1, "title", None, "body text"), (2, "", "x", "y")], "doc_id long, a string, b string, c string")
     out = attribution.by_field(rows, default_path(), ["a", "b", "c"], "split").orderBy("doc_id", "section").collect()
     assert [(r["doc_id"], r["section"], r["n_chars"]) for r in out] == [(1, 0, 6), (1, 1, 1), (1, 2, 9), (2, 0, 1), (2, 1, 2), (2, 2, 1)]
-    tok = encoder(default_path()).tokenizer
+    tok = library()
     assert math.isclose(sum(r["n_tokens"] for r in out if r["doc_id"] == 1), len(tok.encode("title\n\nbody text").ids))

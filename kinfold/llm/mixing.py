@@ -1,18 +1,19 @@
 """Mixing sources to target weights under a time-varying curriculum.
 
 A source's weight over training time t in [0, 1] is a ramp: its target times (1 + a (2t - 1)). Its integral is the
-cumulative demand D(t) for the source's words. Documents of a source stand in a fixed pseudo-random order, and the copy of
-a document that begins after c words of its source gets the training position t at which D(t) reaches its middle. Copies
-are then range-sorted by position.
+cumulative demand D(t) for the source's words. Documents of a source stand in a fixed pseudo-random order, again and again,
+and the copy of a document that begins after c words of its source gets the training position t at which D(t) reaches its
+middle: D is inverted. Copies whose middle the demand never reaches are not taken. Copies are then range-sorted by position.
 
-All of it is DataFrame code; the running sums go through buckets of the order, so one source may hold any share of the
-rows. Null texts have size 0 and are taken 0 words; a null source is a source of its own, after all others; a null key
+All of it is DataFrame code; the running sums go through buckets of the order, whose number grows with the rows, so one
+source may hold any share of them. Null texts have size 0 and are taken 0 words; a null source is a source of its own, after all others; a null key
 is ordered like an empty one; repeated rows are taken each on its own; an empty table gives no rows. Columns of the
 documents are carried in one struct, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -51,18 +52,39 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return level.select("source", "source_size", "weight", "ramp", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", digits: int = 3, **how) -> DataFrame:
-    """doc (struct of the row), source, size, source_size, target, ramp, before (words of the source before the row),
-    copies, taken.
+#: Rows that a bucket of the order has about.
+BUCKET_ROWS = 50_000
 
-    A copy is taken if its middle lies within the target, so a source's taken words miss its target by half a document at
-    most. `digits` hex digits of the order's hash make the buckets: 16^digits for each source.
+
+def demand(t: Column, target: Column, a: Column) -> Column:
+    """Words of a source that are due up to training time t: the integral of its ramp."""
+    return target * (t * (1 - a) + t * t * a)
+
+
+def when_due(words: Column, target: Column, a: Column) -> Column:
+    """The training time at which the demand reaches `words`, the inverse of demand(); null beyond the whole demand."""
+    q = F.try_divide(words, target)
+    t = F.try_divide(2 * q, (1 - a) + F.sqrt(F.greatest((1 - a) * (1 - a) + 4 * a * q, F.lit(0.0))))
+    return F.when(words <= 0, F.lit(0.0)).when(words <= target, F.least(t, F.lit(1.0)))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", digits: int | None = None, keep: Sequence[str] | None = None, copies: int = 2, **how) -> DataFrame:
+    """doc (struct of the columns of `keep`, all by default), source, size, source_size, target, ramp, before (words of the
+    source before the row), positions (training time of each copy that is taken, in order), taken.
+
+    The k-th copy of a row is due when the demand for its source reaches the copy's middle, so a source's taken words miss
+    its target by half a document at most. `digits` hex digits of the order's hash make the buckets of a source; by default
+    as many as keep a bucket near `BUCKET_ROWS` rows.
     """
-    if docs.isEmpty():
-        return docs.select(F.struct("*").alias("doc"), *[F.lit(None).cast(t).alias(n) for n, t in (("source", "string"), ("size", "long"), ("source_size", "long"), ("target", "double"), ("ramp", "double"), ("before", "long"), ("copies", "int"), ("taken", "long"))])
+    n = docs.count()
+    doc = F.struct(*[F.col(c) for c in (docs.columns if keep is None else keep)]).alias("doc")
+    if not n:
+        return docs.select(doc, *[F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("size", "long"), ("source_size", "long"), ("target", "double"), ("ramp", "double"), ("before", "long"), ("positions", "array<double>"), ("taken", "long"))])
+    if digits is None:
+        digits = max(3, math.ceil(math.log(n / BUCKET_ROWS, 16)))
     order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(
-        F.struct("*").alias("doc"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        doc, F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         order.alias("order"), F.substring(order, 1, digits).alias("bucket"), F.xxhash64(text).alias("tie"),
     )
     sums = save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-sums")
@@ -71,50 +93,48 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     named = [F.col("source").alias("s"), F.col("bucket").alias("b")]
     starts = sums.select(*named, F.coalesce(F.sum("bucket_size").over(start), F.lit(0)).alias("bucket_start"))
     starts = starts.join(targets.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    running = W.partitionBy("source", "bucket").orderBy("order", F.col("doc")[key], "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    running = W.partitionBy("source", "bucket").orderBy("order", "key", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("own", F.coalesce(F.sum("size").over(running), F.lit(0)))
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    before = F.col("bucket_start") + F.col("own")
-    fits = lambda k: ((before + k * F.col("source_size")) * 2 + F.col("size") <= F.col("target") * 2).cast("int")
-    placed = placed.withColumn("copies", F.when(F.col("size") > 0, fits(0) + fits(1)).otherwise(0))
-    return placed.select("doc", "source", "size", "source_size", "target", "ramp", before.alias("before"), "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    placed = placed.withColumn("before", F.col("bucket_start") + F.col("own"))
+    due = lambda k: when_due(F.col("before") + F.lit(k) * F.col("source_size") + F.col("size") / 2, F.col("target"), F.col("ramp"))
+    none = F.array().cast("array<double>")
+    placed = placed.withColumn("positions", F.when(F.col("size") > 0, F.array_compact(F.array(*[due(k) for k in range(copies)]))).otherwise(none))
+    return placed.select("doc", "source", "size", "source_size", "target", "ramp", "before", "positions", (F.col("size") * F.size("positions")).alias("taken"))
 
 
 def schedule(mixed: DataFrame) -> DataFrame:
-    """A row for each taken copy: doc, copy, source, before, size, position in [0, 1], sorted by position over all
-    partitions."""
-    copies = mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    q = (F.col("before") + F.col("copy") * F.col("source_size") + F.col("size") / 2) / F.col("target")
-    a = F.col("ramp")
-    position = 2 * q / ((1 - a) + F.sqrt(F.greatest((1 - a) * (1 - a) + 4 * a * q, F.lit(0.0))))
-    copies = copies.select("doc", "copy", "source", "before", "size", F.least(position, F.lit(1.0)).alias("position"))
-    n = partitions(mixed.sparkSession)
-    return copies.repartitionByRange(n, "position").sortWithinPartitions("position")
-
-
-def curriculum(docs: DataFrame, **how) -> DataFrame:
-    """The rows of mix() with `taken` as the words of the row's copies in the schedule, which is written in training order.
-
-    A row with words is known by its source and the words before it. The SQL knows no positions, so they stay in the
-    written schedule.
-    """
-    mixed = mix(docs, **how)
-    written = save(schedule(mixed), "mix-schedule")
-    copies = written.groupBy(F.col("source").alias("s"), F.col("before").alias("b")).agg(F.sum("size").alias("scheduled"))
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("before") == F.col("b")) & (F.col("size") > 0)
-    return mixed.drop("taken").join(copies, same, "left").withColumn("taken", F.coalesce("scheduled", F.lit(0).cast("long"))).drop("s", "b", "scheduled")
+    """A row for each taken copy: the columns of `mixed` but `positions` and `taken`, copy, position in [0, 1]; sorted by
+    position over all partitions."""
+    copies = mixed.select("*", F.posexplode("positions").alias("copy", "position")).drop("positions", "taken")
+    return copies.repartitionByRange(partitions(mixed.sparkSession), "position").sortWithinPartitions("position")
+
+
+def curriculum(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """doc (struct of the key), size, source_size, target, taken, first_position, last_position (null if not taken) of each
+    row, from the schedule of all copies, which is written in training order. Texts are read where they are, not shuffled."""
+    mixed = save(mix(docs, key, keep=[key], **how), "mix").withColumn("row", F.monotonically_increasing_id())
+    mixed = save(mixed, "mix-rows")
+    written = save(schedule(mixed.select("row", "size", "positions", "taken")), "mix-schedule")
+    copies = written.groupBy("row").agg(F.sum("size").alias("scheduled"), F.min("position").alias("first_position"), F.max("position").alias("last_position"))
+    rows = mixed.join(copies, "row", "left")
+    return rows.select("doc", "source", "before", "size", "source_size", "target", F.coalesce("scheduled", F.lit(0).cast("long")).alias("taken"), "first_position", "last_position")
 
 
-#: DuckDB SQL for doc_id, size, source_size, target, taken of mix() over the table `documents`.
+#: DuckDB SQL for the rows of curriculum() over the table `documents`: each copy's position solves the integral of its
+#: source's ramp for the copy's middle.
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rnk FROM d GROUP BY source),
-w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((rnk - 1) % 3 + 1)::INT] AS weight FROM s),
+w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((rnk - 1) % 3 + 1)::INT] AS weight, [0.5::DOUBLE, -0.5::DOUBLE, 0.0::DOUBLE][((rnk - 1) % 3 + 1)::INT] AS a FROM s),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size) OVER (ORDER BY source_size / weight, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2.0::DOUBLE)
   / sum(weight) OVER (ORDER BY source_size / weight, rnk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 m AS (SELECT arg_min(level, source_size / weight) AS level FROM l WHERE level * weight <= source_size * 2.0::DOUBLE),
-t AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, m.level * weight) AS target FROM w, m),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * ((before * 2 + size <= target * 2)::INT + ((before + source_size) * 2 + size <= target * 2)::INT))::BIGINT AS taken FROM p
+t AS (SELECT source, source_size, a, least(source_size * 2.0::DOUBLE, m.level * weight) AS target FROM w, m),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.a, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, (before + size / 2) AS mid0, (before + source_size + size / 2) AS mid1 FROM p),
+r AS (SELECT *, CASE WHEN size > 0 AND mid0 <= target THEN least(2 * (mid0 / target) / ((1 - a) + sqrt(greatest((1 - a) * (1 - a) + 4 * a * (mid0 / target), 0.0::DOUBLE))), 1.0::DOUBLE) END AS t0,
+  CASE WHEN size > 0 AND mid1 <= target THEN least(2 * (mid1 / target) / ((1 - a) + sqrt(greatest((1 - a) * (1 - a) + 4 * a * (mid1 / target), 0.0::DOUBLE))), 1.0::DOUBLE) END AS t1 FROM q)
+SELECT doc_id, size, source_size, target, (size * ((t0 IS NOT NULL)::INT + (t1 IS NOT NULL)::INT))::BIGINT AS taken, t0 AS first_position, coalesce(t1, t0) AS last_position FROM r
 """

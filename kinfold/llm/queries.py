@@ -23,7 +23,7 @@ def op2_pack_gga(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum(table(spark, sf_dir, "documents"))
-    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
 
 
 def op4_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:

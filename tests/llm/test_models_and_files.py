@@ -415,21 +415,22 @@ def test_oracles(spark, data):
 
 
 def test_curriculum_takes_what_the_schedule_holds(spark, data, monkeypatch):
-    written = []
-    monkeypatch.setattr(mixing, "save", lambda df, name, save=mixing.save: (written.append((name, save(df, name))), written[-1][1])[1])
-    rows = {r["doc_id"]: r["taken"] for r in queries.op3_mix_curriculum(spark, data).collect()}
-    copies = dict(written)["mix-schedule"].select("doc.doc_id", "doc.text", "copy", "source", "size", "position").collect()
-    assert len({r["source"] for r in copies}) > 1
-    for r in copies:
-        assert 0 <= r["position"] <= 1 and len(r["text"].split()) > 0
-        rows[r["doc_id"]] -= r["size"]
-    assert set(rows.values()) == {0}
-    at = [r["position"] for r in dict(written)["mix-schedule"].orderBy(F.input_file_name(), F.monotonically_increasing_id()).collect()]
-    assert at == sorted(at)
+    written = {}
+    monkeypatch.setattr(mixing, "save", lambda df, name, save=mixing.save: written.setdefault(name, save(df, name)))
+    rows = {r["doc_id"]: r for r in queries.op3_mix_curriculum(spark, data).collect()}
+    plan = written["mix-schedule"].orderBy(F.input_file_name(), F.monotonically_increasing_id()).collect()
+    at = [r["position"] for r in plan]
+    assert at == sorted(at) and len(at) > 0 and all(0 <= t <= 1 for t in at)
+    names = {r["row"]: r["doc_id"] for r in written["mix-rows"].select("row", "doc.doc_id").collect()}
+    left = {i: r["taken"] for i, r in rows.items()}
+    for r in plan:
+        left[names[r["row"]]] -= r["size"]
+        assert r["position"] == rows[names[r["row"]]]["first_position" if r["copy"] == 0 else "last_position"]
+    assert set(left.values()) == {0}
 
 
 def test_curriculum_of_odd_rows(spark):
-    rows = [(1, "a b", None), (1, "a b", None), (None, "a b c", "s"), (2, None, "s"), (3, "", None), (4, "a " * 50, "t")]
+    rows = [(1, "a b", None), (1, "a b", None), (None, "a b c", "s"), (2, None, "s"), (2, None, "s"), (3, "", None), (4, "a " * 50, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     counted = lambda df: Counter((r["doc"]["doc_id"], r["source"], r["size"], r["before"], r["taken"]) for r in df.collect())
     assert counted(mixing.curriculum(docs)) == counted(mixing.mix(docs)) and mixing.curriculum(docs.limit(0)).collect() == []
@@ -447,7 +448,7 @@ def test_pipeline_stages(spark, data):
     groups = {r["doc_id"]: r["component_id"] for r in jaccard.join(kept).collect()}
     assert single.columns == columns and {r["doc_id"] for r in single.collect()} == set(groups.values())
     mixed = corpus_pipeline.mix_sources(spark, single, data).cache()
-    taken = {r["doc_id"]: r["copies"] for r in mixing.mix(single).select("doc.doc_id", "copies").collect() if r["copies"]}
+    taken = {r["doc_id"]: r["n"] for r in mixing.mix(single).select("doc.doc_id", F.size("positions").alias("n")).collect() if r["n"]}
     assert mixed.columns == columns and Counter(r["doc_id"] for r in mixed.collect()) == taken
     rows = corpus_pipeline.pack(spark, mixed, data).collect()
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == taken

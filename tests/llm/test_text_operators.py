@@ -275,6 +275,23 @@ def test_curriculum_follows_ramps(spark):
     early = plan[plan.position < 0.5].groupby("source").size() / plan.groupby("source").size()
     # the share of a ramp's integral in the first half: (1 - a / 2) / 2
     assert abs(early["s0"] - 0.375) < 0.02 and abs(early["s1"] - 0.625) < 0.02 and abs(early["s2"] - 0.5) < 0.02
+    # other ramps give other positions, and another order of training
+    order = lambda ramps: [tuple(r) for r in mixing.schedule(mixing.mix(docs, ramps=ramps)).select("doc.doc_id", "copy").collect()]
+    one, other = order((0.5, -0.5, 0.0)), order((-0.5, 0.5, 0.9))
+    assert sorted(one) == sorted(other) and one != other and len(set(one[:500]) & set(other[:500])) < 450
+
+
+def test_demand_is_inverted(spark):
+    rows = spark.createDataFrame([(a, 200.0, t / 20) for a in (-1.0, -0.5, 0.0, 0.3, 1.0) for t in range(21)], "a double, target double, t double")
+    due = mixing.demand(F.col("t"), F.col("target"), F.col("a"))
+    for r in rows.select("t", "a", mixing.when_due(due, F.col("target"), F.col("a")).alias("back"), mixing.when_due(F.lit(200.5), F.col("target"), F.col("a")).alias("late")).collect():
+        assert r["back"] == pytest.approx(r["t"], abs=1e-7) and r["late"] is None
+
+
+def test_mixing_does_not_depend_on_buckets(spark):
+    docs = frame(spark, made(19))
+    taken = [sorted(map(tuple, mixing.mix(docs, digits=d).select("doc.doc_id", "before", "taken").collect())) for d in (1, 3, 5)]
+    assert taken[0] == taken[1] == taken[2]
 
 
 def test_sketch(spark):

@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every word from both sides.
 
-All different words are counted over the whole corpus in a written table, which grows with it. For the network they are
-hashed to `BUCKETS` buckets. The commonest buckets have an id of their own, the
+All different words (by 64-bit hashes) are counted over the whole corpus in a written table, which grows with it. For the
+network they are hashed to `BUCKETS` buckets. The commonest buckets have an id of their own, the
 others share `SHARED` ids. Buckets in order of their counts are cut into classes of about equal mass; the network predicts
 the class of a masked word from the `SIDE` words before and after it (a tanh layer and a softmax), and a bucket's share of
 its class and a word's share of its bucket give the rest:  p(word | sides) = p(class | sides) * p(bucket | class) *
@@ -11,8 +11,10 @@ given the words around it (a pseudo-log-likelihood); positions outside the docum
 
 Training is data-parallel over all documents: in each round every task starts from the same weights, runs over the round's
 share of the positions of all its documents, and sends its weights; their mean by the number of positions starts the next
-round. The rounds deal the positions out by a hash, so every word of every document is a target in exactly one of them. What is sent grows with the number of tasks, so with the input; the network does not. Scoring has the shares of the
-`FREQUENT` commonest words in each task and joins the other words to the table.
+round. The rounds deal the positions out by a hash, so every word
+of every document is a target in exactly one of them. What is sent grows with the number of tasks, so with the input; the
+network does not. Scoring has the shares of at most `FREQUENT` words, the commonest, in each task and joins the other words
+to the table.
 
 Null, empty and blank texts have no words: n_tokens 0, score 0, no mean. Repeated rows each get a row; an empty table gives
 no rows (and an untrained model); columns other than key and text are not read.
@@ -38,33 +40,38 @@ BORDER = OWN + SHARED
 DIM, HIDDEN, CLASSES = 16, 32, 64
 SIDE = 2
 ROUNDS = 2
-RATE = 0.05
-BATCH = 512
+#: Adagrad's rate and the squares that it starts from.
+RATE, START = 0.1, 1e-6
+BATCH = 2048
 #: Added to each bucket's count.
 SMOOTH = 0.1
 #: Words whose shares are sent to all tasks; the others are looked up by a join, with the same result.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 19
 RUN = 4_000_000
 SEED = 11
 
 
-def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(the different words and their buckets, index of each word, where each text's words begin and the last's end)."""
+def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the different words, index of each word, where each text's words begin and the last's end)."""
     parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     coded = parts.values.dictionary_encode()
     index = coded.indices.to_numpy()
     names = coded.dictionary.to_numpy(zero_copy_only=False)
-    own = (pd.util.hash_array(names, categorize=False) % BUCKETS).astype(np.int64) if len(names) else np.zeros(0, np.int64)
+    hashes = pd.util.hash_array(names, categorize=False) if len(names) else np.zeros(0, np.uint64)
     blank = np.flatnonzero(names == "") if len(names) else []
     real = index != blank[0] if len(blank) else np.ones(len(index), bool)
     at = np.concatenate([[0], np.cumsum(real)])[parts.offsets.to_numpy()]
-    return coded.dictionary, own, index[real], at
+    return hashes, index[real], at
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each word, where each text's words begin and the last's end)."""
-    _, own, index, at = split(texts)
-    return own[index], at
+    hashes, index, at = split(texts)
+    return bucket_of(hashes)[index], at
 
 
 class Vocabulary:
@@ -107,26 +114,40 @@ class Network:
             at += v.size
 
     def step(self, around: np.ndarray, target: np.ndarray, squares: dict[str, np.ndarray]) -> None:
-        """One Adagrad step on the mean negative log-probability of the classes `target` given the ids `around`."""
-        w = self.w
-        x = w["emb"][around]
-        h = np.tanh(np.einsum("bpd,pdh->bh", x, w["into"], optimize=True) + w["hid"])
-        z = h @ w["out"] + w["bias"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(target)), target] -= 1
-        z /= len(target)
-        dh = (z @ w["out"].T) * (1 - h * h)
-        grads = {"out": h.T @ z, "bias": z.sum(axis=0), "hid": dh.sum(axis=0), "into": np.einsum("bpd,bh->pdh", x, dh, optimize=True)}
-        dx = np.einsum("bh,pdh->bpd", dh, w["into"], optimize=True).reshape(-1, DIM)
-        ids, place = np.unique(around.ravel(), return_inverse=True)
-        order = np.argsort(place, kind="stable")
-        ge = np.add.reduceat(dx[order], np.searchsorted(place[order], np.arange(len(ids))), axis=0)
+        """One Adagrad step on the mean negative log-probability of the classes `target` given the ids `around`. Each id's
+        part of the hidden layer is computed once, and gradients are summed by id before they go back through it."""
+        w, n = self.w, len(target)
+        emb, into, ones = w["emb"], w["into"], np.ones(n, np.float32)
+        h = hidden([emb @ into[p] for p in range(2 * SIDE)], around, w["hid"])
+        z = h @ w["out"]
+        z += w["bias"]
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z *= np.float32(1 / n) / (z @ np.ones((CLASSES, 1), np.float32))
+        z[np.arange(n), target] -= np.float32(1 / n)
+        dh = z @ w["out"].T
+        dh *= 1 - h * h
+        grads = {"out": h.T @ z, "bias": ones @ z, "hid": ones @ dh, "into": np.empty_like(into), "emb": np.zeros_like(emb)}
+        for p in range(2 * SIDE):
+            column = around[:, p].astype(np.uint16)  # sorted by radix
+            order = np.argsort(column, kind="stable")
+            first = np.flatnonzero(np.diff(column[order].astype(np.int64), prepend=-1))
+            ids = column[order[first]].astype(np.int64)
+            by_id = np.add.reduceat(dh.take(order, axis=0), first, axis=0)
+            grads["into"][p] = emb[ids].T @ by_id
+            grads["emb"][ids] += by_id @ into[p].T
         for k, g in grads.items():
             squares[k] += g * g
             w[k] -= RATE * g / np.sqrt(squares[k])
-        squares["emb"][ids] += ge * ge
-        w["emb"][ids] -= RATE * ge / np.sqrt(squares["emb"][ids])
+
+
+def hidden(parts: list[np.ndarray], around: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The hidden layer, from the parts of each id at each place."""
+    h = parts[0].take(around[:, 0], axis=0)
+    for p in range(1, len(parts)):
+        h += parts[p].take(around[:, p], axis=0)
+    h += bias
+    return np.tanh(h, out=h)
 
 
 class Scorer:
@@ -149,18 +170,14 @@ class Scorer:
             self.parts = [w["emb"] @ w["into"][p] for p in range(2 * SIDE)]
         around = window(self.v.ids[bucket], at)
         target, out = self.v.classes[bucket], self.v.within[bucket].copy()
-        for a in range(0, len(bucket), 8192):
-            s = slice(a, a + 8192)
-            h = self.parts[0][around[s, 0]]
-            for p in range(1, 2 * SIDE):
-                h += self.parts[p][around[s, p]]
-            h += w["hid"]
-            z = np.tanh(h, out=h) @ w["out"]
+        ones = np.ones(CLASSES, np.float32)
+        for a in range(0, len(bucket), 4096):
+            s = slice(a, a + 4096)
+            z = hidden(self.parts, around[s], w["hid"]) @ w["out"]
             z += w["bias"]
+            z -= z.max(axis=1, keepdims=True)
             t = z[np.arange(len(z)), target[s]]
-            top = z.max(axis=1, keepdims=True)
-            z -= top
-            out[s] += t - top[:, 0] - np.log(np.exp(z, out=z).sum(axis=1))
+            out[s] += t - np.log(np.exp(z, out=z) @ ones)
         return out
 
 
@@ -168,7 +185,7 @@ def window(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The ids `SIDE` before to `SIDE` after each place, without its own; the border id outside its text."""
     n = len(ids)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    out = np.full((n, 2 * SIDE), BORDER, np.int64)
+    out = np.full((n, 2 * SIDE), BORDER, np.int64, order="F")
     for p, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         k = abs(d)
         if n > k:
@@ -187,27 +204,32 @@ def targets(bucket: np.ndarray, at: np.ndarray, turn: int, rounds: int) -> np.nd
 
 
 class Words:
-    """The corpus' words: `table` (word, bucket, n, share: log of the word's share of its bucket's occurrences), the share
+    """The corpus' words: `table` (word: its hash, n, share: log of the word's share of its bucket's occurrences), the share
     of unknown words, and the commonest words with their shares for the tasks."""
 
     def __init__(self, table: DataFrame):
         self.table = table
-        n, once = table.agg(F.sum("n"), F.sum((F.col("n") == 1).cast("long"))).first()
-        unknown = ((once or 0) + 1) / ((n or 0) + 2)
+        # a row for each step of the counts, of which there are 253 at most
+        steps = sorted(table.groupBy(F.floor(F.log2("n") * 4).alias("step")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect(), reverse=True)
+        n, once = sum(r["n"] for r in steps), sum(r["once"] for r in steps)
+        unknown = (once + 1) / (n + 2)
         self.known, self.unknown = float(np.log1p(-unknown)), float(np.log(unknown))
-        # FREQUENT rows
-        top = table.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "share").collect()
-        self.names, self.shares = pa.array([r[0] for r in top], pa.large_string()), np.array([r[1] for r in top], np.float64) + self.known
+        fits = [r["step"] for r, words in zip(steps, np.cumsum([r["words"] for r in steps]), strict=True) if words <= FREQUENT]
+        # FREQUENT rows at most
+        top = table.where(F.floor(F.log2("n") * 4) >= F.lit(min(fits, default=1 << 20))).select("word", "share").toArrow()
+        words = top.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        self.words, self.shares = words[order], top.column("share").to_numpy()[order] + self.known
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}
 
-    def local(self, names: pa.Array) -> np.ndarray:
-        """Log shares of the words of `names` that are frequent; NaN for others."""
-        if not len(self.names):
-            return np.full(len(names), np.nan)
-        place = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False)
-        return np.where(place >= 0, self.shares[place], np.nan)
+    def local(self, hashes: np.ndarray) -> np.ndarray:
+        """Log shares of the words that are frequent; NaN for others."""
+        if not len(self.words):
+            return np.full(len(hashes), np.nan)
+        place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[place] == hashes, self.shares[place], np.nan)
 
 
 def count_words(docs: DataFrame, text: str = "text") -> tuple[Words, np.ndarray]:
@@ -216,19 +238,19 @@ def count_words(docs: DataFrame, text: str = "text") -> tuple[Words, np.ndarray]
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, rows in text_runs(batch, most=RUN):
-                names, own, index, _ = split(rows.column("text"))
-                n = np.bincount(index, minlength=len(names))
-                used = pa.array(np.flatnonzero(n))
-                yield pa.RecordBatch.from_arrays([names.take(used).cast(pa.string()), pa.array(own).take(used), pa.array(n).take(used)], ["word", "bucket", "n"])
+                hashes, index, _ = split(rows.column("text"))
+                n = np.bincount(index, minlength=len(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[n > 0].view(np.int64)), pa.array(n[n > 0])], ["word", "n"])
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(tidy(count), "word string, bucket long, n long")
-    counted = save(counted.groupBy("word", "bucket").agg(F.sum("n").alias("n")), "lm-counts")
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(tidy(count), "word long, n long")
+    bucket = F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
+    counted = save(counted.groupBy("word").agg(F.sum("n").alias("n")), "lm-counts").select("word", bucket, "n")
     sums = counted.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
     out = np.zeros(BUCKETS, np.int64)
     # BUCKETS rows
     for r in sums.collect():
         out[r["bucket"]] = r["in_bucket"]
-    table = counted.join(F.broadcast(sums), "bucket").select("word", "bucket", "n", F.log(F.col("n") / F.col("in_bucket")).alias("share"))
+    table = counted.join(F.broadcast(sums), "bucket").select("word", "n", F.log(F.col("n") / F.col("in_bucket")).alias("share"))
     return Words(save(table, "lm-words")), out
 
 
@@ -246,7 +268,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_size:
             v, start = shared.value
             net = Network(v.prior)
             net.load(start.flat())
-            squares = {k: np.full(x.shape, 0.1, np.float32) for k, x in net.w.items()}
+            squares = {k: np.full(x.shape, START, np.float32) for k, x in net.w.items()}
             seen = 0
             for batch in batches:
                 for _, rows in text_runs(batch, most=RUN):
@@ -288,16 +310,17 @@ def score(docs: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "tex
         s = shared.value
         for batch in batches:
             for _, rows in text_runs(batch, most=RUN):
-                names, bucket, index, at = split(rows.column("text"))
-                share = np.where(s.v.empty[bucket], 0.0, s.words.local(names))
+                hashes, index, at = split(rows.column("text"))
+                bucket = bucket_of(hashes)
+                share = np.where(s.v.empty[bucket], 0.0, s.words.local(hashes))
                 rare = np.isnan(share)[index]
                 run = np.concatenate([[0.0], np.cumsum(s.log_probs(bucket[index], at) + np.nan_to_num(share)[index])])
                 cut = np.concatenate([[0], np.cumsum(rare)])[at]
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), names.take(pa.array(index[rare])).cast(pa.string()))
+                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(hashes[index[rare]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(np.diff(at).astype(np.int64)), pa.array(run[at[1:]] - run[at[:-1]]), lists], ["key", "n_tokens", "part", "rare"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    parts = rows.mapInArrow(tidy(own), "key long, n_tokens long, part double, rare array<string>")
+    parts = rows.mapInArrow(tidy(own), "key long, n_tokens long, part double, rare array<long>")
     parts = save(parts.withColumn("row", F.monotonically_increasing_id()), "lm-parts")
     rare = parts.select("row", F.explode("rare").alias("word")).join(scorer.words.table.select("word", "share"), "word", "left")
     rest = rare.groupBy("row").agg(F.sum(F.coalesce(F.col("share") + scorer.words.known, F.lit(scorer.words.unknown))).alias("rest"))

@@ -311,9 +311,12 @@ def groups(rows: DataFrame, often: dict[int, int], most: int = MOST) -> DataFram
                 continue
             key = np.concatenate([k for _, k in raw])
             cls = np.repeat(np.array([c for c, _ in raw], np.int64), [len(k) for _, k in raw])
-            bucket = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
             if len(hot):
-                bucket[hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key] = -1
+                rare = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] != key
+                key, cls = key[rare], cls[rare]
+            if not len(key):
+                continue
+            bucket = (mix(key) % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.diff(bucket[order], prepend=-2))
             pairs = np.stack([key[order], cls[order].view(np.uint64)], axis=1)
@@ -340,16 +343,20 @@ def groups(rows: DataFrame, often: dict[int, int], most: int = MOST) -> DataFram
         })
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.column("pairs").to_pylist():
-                pairs = np.frombuffer(p, np.int64).reshape(-1, 2)
-                n = len(pairs)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 0].copy())], ["gid", "members", "a", "b"])
+        """Edges between classes and their keys that are frequent."""
+        hot = large.value
+        for batch in batches if len(hot) else ():
+            cls, keys = batch.column("cls"), pc.fill_null(batch.column("keys"), b"")
+            key = np.frombuffer(b"".join(keys.to_pylist()), np.uint64)
+            owner = np.repeat(np.arange(len(batch)), pc.binary_length(keys).to_numpy(zero_copy_only=False) // 8)
+            at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key)
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), cls.take(pa.array(owner[at])), pa.array(_signed(key[at]))], ["gid", "members", "a", "b"])
 
     schema = "gid long, members array<long>, a long, b long"
-    dealt = rows.where("cls IS NOT NULL").select("cls", "keys").mapInArrow(tidy(deal), "bucket long, pairs binary")
-    small = dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(tidy_group(split), schema)
-    return small.unionByName(dealt.where("bucket < 0").mapInArrow(tidy(stars), schema))
+    some = rows.where("cls IS NOT NULL").select("cls", "keys")
+    small = some.mapInArrow(tidy(deal), "bucket long, pairs binary").groupBy("bucket").applyInArrow(tidy_group(split), schema)
+    return small.unionByName(some.mapInArrow(tidy(stars), schema))  # no task has two Python workers
 
 
 def _unique_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

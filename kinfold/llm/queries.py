@@ -50,13 +50,12 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
-    return toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~held_out())
+def toxicity_scores(spark: SparkSession, sf_dir: str, docs: DataFrame, **how) -> tuple[DataFrame, toxicity.Model]:
+    return toxicity.classify(docs, table(spark, sf_dir, "labels"), usable=~held_out(), **how)
 
 
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    scored, _ = toxicity_scores(spark, sf_dir, table(spark, sf_dir, "documents"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 

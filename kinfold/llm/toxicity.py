@@ -6,10 +6,12 @@ max-pooled over the whole text, and a logistic layer scores the pooled values. S
 with the best F1 on all labelled rows lies at 0.3; thresholds are then calibrated for each language, on all its labelled
 rows.
 
-The model is fitted on the driver on a bounded sample of labelled rows (`MOST_POSITIVE`, `MOST_NEGATIVE`, `MOST_CHARS`);
-calibration scores all documents that may have a label and counts them by score, language and label; scoring is one pass over whole texts without a shuffle. Null and empty texts have the score of a text without words;
-repeated rows each get a row; an empty table gives no rows; without labels of both kinds every score is the share of
-toxic labels (0 if there are none). Columns other than key and text are not read for a score.
+The model is fitted on the driver on a bounded sample of labelled rows (`MOST_POSITIVE`, `MOST_NEGATIVE`, `MOST_CHARS`).
+classify() runs the network over all texts once, without a shuffle, and writes their log-odds; those of all rows with a
+label are counted by language and label for the calibration, which then moves the written values to scores. Null and empty
+texts have the score of a text without words; repeated rows each get a row; an empty table gives no rows; without labels of
+both kinds every score is the share of toxic labels (0 if there are none). Of the texts of a repeated key the sample has the
+one of the smallest hash. Columns other than key and text are not read for a score.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ GRAMS = (4, 5)
 THRESHOLD = 0.3
 #: Bounds of the training sample.
 MOST_POSITIVE, MOST_NEGATIVE, MOST_CHARS = 1500, 3000, 20_000_000
+#: Bytes of text that a task scores at a time.
+RUN = 4_000_000
 #: Width of the steps of log-odds in which scores are counted for calibration.
 STEP = 0.01
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#-_~`/\\"
@@ -142,12 +146,19 @@ class Model:
             parts.append(best)
         return np.concatenate(parts, axis=1), places
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def odds(self, texts: pa.Array) -> np.ndarray:
+        """Log-odds before calibration."""
         if self.constant is not None:
-            return np.full(len(texts), self.constant)
+            return np.zeros(len(texts))
         index, at, names = tokens(texts)
         x, _ = self.pooled(self.vectors(*word_rows(names)), index, at)
-        return 1 / (1 + np.exp(-(x.astype(np.float64) @ self.out + self.base + self.shift)))
+        return x.astype(np.float64) @ self.out + self.base
+
+    def score_of(self, odds: Column) -> Column:
+        """Scores from log-odds."""
+        if self.constant is not None:
+            return F.lit(self.constant)
+        return 1 / (1 + F.exp(-(odds + F.lit(self.shift))))
 
     def start(self, texts: list[str], labels: np.ndarray) -> None:
         """The first dimension of each row starts as the log-odds of the label given the row, and the first filter of each
@@ -251,19 +262,24 @@ def longest_text(lengths: list[int], most: int | None = None) -> int:
     return max(lengths, default=0)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang", usable: Column | None = None) -> Model:
-    """Fit on a sample of the labelled rows for which `usable` (on the key) holds. The sample is the rows of the smallest
-    hashes of the key, up to the bounds for each label; of texts that are too long together only the longest are cut, all
-    to one length. Repeated label rows count once; a key with both labels is toxic."""
-    marked = labels.where(usable) if usable is not None else labels
-    marked = marked.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
-    labelled = marked.where("label IN (0, 1)")
-    marked = labelled.join(docs.select(F.col(key).alias("key")), "key", "left_semi")
-    pick = lambda v, n: marked.where(F.col("label") == v).orderBy(F.crc32(F.concat(F.lit("sample"), F.col("key").cast("string"))), "key").limit(n)
+def marked(labels: DataFrame, key: str, label: str, usable: Column | None) -> DataFrame:
+    """key, label of the labelled rows for which `usable` holds; a key with both labels is toxic."""
+    rows = labels.where(usable) if usable is not None else labels
+    rows = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
+    return rows.where("label IN (0, 1)")
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None) -> Model:
+    """Fit on a sample of the labelled rows for which `usable` (on the key) holds, without calibration. The sample is the
+    rows of the smallest hashes of the key, up to the bounds for each label; of texts that are too long together only the
+    longest are cut, all to one length. Repeated label rows count once; a key with both labels is toxic."""
+    known = marked(labels, key, label, usable).join(docs.select(F.col(key).alias("key")), "key", "left_semi")
+    pick = lambda v, n: known.where(F.col("label") == v).orderBy(F.crc32(F.concat(F.lit("sample"), F.col("key").cast("string"))), "key").limit(n)
     # bounded by MOST_POSITIVE + MOST_NEGATIVE rows
     sample = pick(1, MOST_POSITIVE).unionByName(pick(0, MOST_NEGATIVE))
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = own.join(F.broadcast(sample), "key").dropDuplicates(["key"]).withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, MOST_CHARS))
+    rows = own.join(F.broadcast(sample), "key").withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, MOST_CHARS))
+    rows = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r")).select("key", "r.text", "r.label")
     rows = save(rows, "toxicity-sample").orderBy(F.crc32(F.col("key").cast("string")), "key")
     longest = longest_text([r[0] for r in rows.select(F.length("text")).collect()])
     texts, y = [], []
@@ -274,24 +290,22 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
     # a fifth is not fitted, so that rows which the model has not seen count at every size
-    fit = np.arange(len(y)) % 5 != 4
-    if y[fit].min() == y[fit].max():
-        fit[:] = True
-    model.fit([t for t, f in zip(texts, fit, strict=True) if f], y[fit])
-    calibrate(model, docs.where(usable) if usable is not None else docs, labelled, key, text, lang)
+    fitted = np.arange(len(y)) % 5 != 4
+    if y[fitted].min() == y[fitted].max():
+        fitted[:] = True
+    model.fit([t for t, f in zip(texts, fitted, strict=True) if f], y[fitted])
     return model
 
 
-def calibrate(model: Model, docs: DataFrame, labelled: DataFrame, key: str, text: str, lang: str) -> None:
-    """Choose shift and thresholds from the scores of all documents with a label, counted by language and label in steps of
-    `STEP` of the log-odds. Texts are scored where they are; only keys, languages and scores are shuffled."""
-    by = [lang] if lang in docs.columns else []
-    scored = score(docs.where(F.col(key).isNotNull()), model, key, text, [key, *by], "_p")
-    p = F.greatest(F.least(F.col("_p"), F.lit(1 - 1e-6)), F.lit(1e-6))
-    scored = scored.select(F.col(key).alias("key"), (F.col(lang) if by else F.lit(None)).cast("string").alias("lang"), F.round(F.log(p / (1 - p)) / STEP).cast("int").alias("step"))
-    counts = scored.join(labelled, "key").groupBy("lang", "step").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
-    # at most 27.7 / STEP rows for each language
-    found = counts.toPandas()
+def calibrate(model: Model, found: DataFrame, known: DataFrame, key: str, lang: str | None, odds: str) -> None:
+    """Choose shift and thresholds from the log-odds (column `odds` of `found`) of all rows of labelled keys, counted by
+    language and label in steps of `STEP`. Only keys, languages and log-odds are shuffled."""
+    if model.constant is not None:
+        return
+    rows = found.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("lang"), F.round(F.greatest(F.least(F.col(odds), F.lit(14.0)), F.lit(-14.0)) / STEP).cast("int").alias("step"))
+    counts = rows.join(known, "key").groupBy("lang", "step").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
+    # at most 28 / STEP rows for each language
+    table = counts.toPandas()
     logit = lambda v: float(np.log(v / (1 - v)))
 
     def cut(t: pd.DataFrame) -> float | None:
@@ -300,17 +314,16 @@ def calibrate(model: Model, docs: DataFrame, labelled: DataFrame, key: str, text
             return None
         return logit(best_threshold(1 / (1 + np.exp(-t["step"].to_numpy(np.float64) * STEP)), t["hits"].to_numpy(np.float64), t["n"].to_numpy(np.float64)))
 
-    general = cut(found)
+    general = cut(table)
     model.shift = logit(THRESHOLD) - general if general is not None else 0.0
-    for name, own in found[found["lang"].fillna("") != ""].groupby("lang"):
+    for name, own in table[table["lang"].fillna("") != ""].groupby("lang"):
         if (c := cut(own)) is not None:
             model.thresholds[name] = float(1 / (1 + np.exp(-(c + model.shift))))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The columns of `keep` (key by default) and the score as `name`, for every row."""
+def log_odds(docs: DataFrame, model: Model, text: str, keep: list[str], name: str) -> DataFrame:
+    """The columns of `keep` and the log-odds before calibration as `name`, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [key] if keep is None else keep
     inner = "_text"
     while inner in keep:
         inner += "_"
@@ -318,8 +331,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for _, rows in text_runs(batch, inner):
-                p = m.score(rows.column(inner))
+            for _, rows in text_runs(batch, inner, RUN):
+                p = m.odds(rows.column(inner))
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in range(len(keep))], pa.array(p, pa.float64())], [*keep, name])
 
     rows = docs.select(*keep, F.col(text).alias(inner))
@@ -327,6 +340,37 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(tidy(own), StructType([*fields, StructField(name, DoubleType())]))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang", usable: Column | None = None, keep: list[str] | None = None, name: str = "score") -> tuple[DataFrame, Model]:
+    """The columns of `keep` (key by default) and the calibrated score as `name`, for every row, and the model. Texts are run
+    through the network once; what it gives is written with the columns kept."""
+    keep = [key] if keep is None else list(keep)
+    model = fit(docs, labels, key, text, label, usable)
+    by = lang if lang in docs.columns else None
+    more = [c for c in (key, by) if c is not None and c not in keep]
+    odds = free_name("_odds", [*keep, *more, name])
+    found = save(log_odds(docs, model, text, [*keep, *more], odds), "toxicity-odds")
+    calibrate(model, found, marked(labels, key, label, usable), key, by, odds)
+    return found.select(*keep, model.score_of(F.col(odds)).alias(name)), model
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str = "lang", usable: Column | None = None) -> Model:
+    """A calibrated model."""
+    return classify(docs, labels, key, text, label, lang, usable)[1]
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns of `keep` (key by default) and the score as `name`, for every row."""
+    keep = [key] if keep is None else list(keep)
+    odds = free_name("_odds", [*keep, name])
+    return log_odds(docs, model, text, keep, odds).select(*keep, model.score_of(F.col(odds)).alias(name))
+
+
 def threshold_of(model: Model, lang: Column) -> Column:
     """The calibrated threshold of a language; 0.3 for one without."""
     if not model.thresholds:

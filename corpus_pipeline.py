@@ -10,18 +10,15 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import jaccard, mixing, packing, toxicity
 from kinfold.llm.common import save
-from kinfold.llm.queries import toxicity_model
+from kinfold.llm.queries import toxicity_scores
 from kinfold.llm.tokens import default_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold calibrated for their language. A document without a language has the
     general threshold."""
-    model = toxicity_model(spark, sf_dir, docs)
-    score = "_score"
-    while score in docs.columns:
-        score += "_"
-    scored = toxicity.score(docs, model, keep=docs.columns, name=score)
+    score = toxicity.free_name("_score", docs.columns)
+    scored, model = toxicity_scores(spark, sf_dir, docs, keep=docs.columns, name=score)
     return scored.where(F.col(score) < toxicity.threshold_of(model, F.col("lang"))).select(*docs.columns)
 
 

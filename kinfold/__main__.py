@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.config import ResolutionConfig
 from kinfold.operators import materialize, search
 from kinfold.plans.pipeline import Hub, backfill, rebuild_profiles
 from kinfold.sources.tables import TableConnector, parquet_reader
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     spark = spark or SparkSession.builder.appName("kinfold").getOrCreate()
     store, lines = Store(spark, args.hub), []
     if args.command in ("backfill", "sync"):
-        source = TableConnector(parquet_reader(spark, args.source), args.system)
+        source = TableConnector(parquet_reader(spark, args.source), args.system, excluded_codes=ResolutionConfig().rollup_excluded_codes)
         hub = backfill(spark, source, built_at=args.built_at, store=store) if args.command == "backfill" else sync(store, source, built_at=args.built_at)
         lines += [f"{t}: {getattr(hub, t).count()}" for t in ("links", "identities", "credentials", "exclusions", "profiles", "aliases")]
         return _print(lines)

@@ -21,8 +21,8 @@ AUTHORITY = ("verified", "nppes", "local_employees", "state_license", "scraped_l
 QUALIFYING_CODES = (20, 30, 40, 45, 65, 70, 80, 85, 90)
 ROLLUP_EXCLUDED_CODES = (10, 100, 85, 80)
 
-#: Tiers of the batch path in order: name, confidence. The position makes part of new identities' ids.
-TIERS = (("ssn_hash", 0.99), ("npi", 0.99), ("upin", 0.99), ("dea_number", 0.99), ("name_dob", 0.95), ("new", 1.0))
+#: Tiers of the batch path in order, and that of licences for records that come one by one: name, confidence. The position makes part of new identities' ids.
+TIERS = (("ssn_hash", 0.99), ("npi", 0.99), ("upin", 0.99), ("dea_number", 0.99), ("name_dob", 0.95), ("new", 1.0), ("license_state", 0.99))
 TIER_NAMES = tuple(name for name, _ in TIERS)
 
 SURVIVING_FIELDS = ("first_name", "middle_name", "last_name", "name_suffix", "date_of_birth", "ssn_hash", "npi", "upin", "dea_number")

@@ -125,6 +125,11 @@ def jaro_winkler(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.pandas_udf(_jaro_winkler_batch, "double")(a, b))
 
 
+def shard_of(c: Column, shards: int) -> Column:
+    """The shard of a value: CRC-32 of its bytes modulo the number of shards."""
+    return F.crc32(c.cast("string").cast("binary")) % shards
+
+
 def ssn_hash(ssn: Column, key: str) -> Column:
     return F.sha2(F.concat(ssn, F.lit(key)).cast("binary"), 512)
 

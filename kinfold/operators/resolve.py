@@ -7,6 +7,7 @@ tier's ordinal (and batch) times 2^40 plus its founder's id: earlier tiers get s
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,10 @@ SPAN = 1 << 40
 KEYED = {"ssn_hash": "key_ssn", "npi": "key_npi", "upin": "key_upin", "dea_number": "key_dea", "name_dob": "key_name"}
 #: Identity columns with the staged columns that fill them.
 FILLED = {"ssn_hash": "ssn_hash", "npi": "npi", "upin": "upin", "dea_number": "dea_number", "canonical_dob": "date_of_birth", "canonical_first": "first_name", "canonical_middle": "middle_name", "canonical_last": "last_name"}
-IDENTITY = ("identity_id", *FILLED, "canonical_suffix", "confidence")
+IDENTITY = ("identity_id", *FILLED, "canonical_suffix", "confidence", "status")
+LICENSE = "license_state"
+#: Order of the tiers for records that come one by one: licence and state count before the name.
+ROW_ORDER = ("ssn_hash", "npi", "dea_number", "upin", LICENSE, "name_dob")
 
 
 @dataclass
@@ -59,7 +63,7 @@ def _unblocked(rows: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 def _identity(rows: DataFrame, identity_id: Column, confidence: float) -> DataFrame:
-    return rows.select(identity_id.alias("identity_id"), *[F.col(s).alias(c) for c, s in FILLED.items()], F.col("name_suffix").alias("canonical_suffix"), F.lit(confidence).cast("decimal(5,4)").alias("confidence"))
+    return rows.select(identity_id.alias("identity_id"), *[F.col(s).alias(c) for c, s in FILLED.items()], F.col("name_suffix").alias("canonical_suffix"), F.lit(confidence).cast("decimal(5,4)").alias("confidence"), F.lit("active").alias("status"))
 
 
 def _link(rows: DataFrame, tier: str, config: ResolutionConfig) -> DataFrame:
@@ -71,15 +75,36 @@ def _link(rows: DataFrame, tier: str, config: ResolutionConfig) -> DataFrame:
 
 
 def fill_keys(identities: DataFrame, links: DataFrame, people: DataFrame) -> DataFrame:
-    """Empty key and name columns of identities get the greatest value of the people linked to them."""
+    """Empty key and name columns of active identities get the greatest value of the people linked to them."""
     most = links.select("identity_id", "stg_person_id").join(people, "stg_person_id").groupBy("identity_id").agg(*[F.max(s).alias(f"_{c}") for c, s in FILLED.items()])
     joined = identities.join(most, "identity_id", "left")
-    return joined.select("identity_id", *[F.coalesce(c, f"_{c}").alias(c) for c in FILLED], "canonical_suffix", "confidence")
+    return joined.select("identity_id", *[F.coalesce(F.col(c), F.when(F.col("status") == "active", F.col(f"_{c}"))).alias(c) for c in FILLED], "canonical_suffix", "confidence", "status")
 
 
-def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame | None = None, links: DataFrame | None = None, batch: int = 0, blocked: DataFrame | None = None, create: bool = True) -> Resolved:
+def by_license(open_: DataFrame, staged: DataFrame, licenses: DataFrame, identities: DataFrame) -> DataFrame:
+    """`open_` with identity_id: the smallest active identity that has a licence of the person, by number and state (none equals none)."""
+    mine = staged.join(open_.select("stg_person_id"), "stg_person_id", "left_semi").select("stg_person_id", F.inline("licenses")).select("stg_person_id", "license_number", "certification_state")
+    active = identities.where("status = 'active'").select("identity_id")
+    held = licenses.join(active, "identity_id", "left_semi").groupBy("license_number", "certification_state").agg(F.min("identity_id").alias("identity_id"))
+    held = held.withColumnsRenamed({"license_number": "_n", "certification_state": "_s"})
+    same = (F.col("license_number") == F.col("_n")) & F.col("certification_state").eqNullSafe(F.col("_s"))
+    found = mine.join(held, same).groupBy("stg_person_id").agg(F.min("identity_id").alias("identity_id"))
+    return open_.join(found, "stg_person_id")
+
+
+def pin(links: DataFrame, pins: DataFrame) -> DataFrame:
+    """Links with those that a person has decided: `pins` (system_id, source_table, source_id, identity_id) set the identity
+    of a source record's link, and keep it from enrichment."""
+    key = ["system_id", "source_table", "source_id"]
+    decided = pins.dropDuplicates(key).select(*key, F.col("identity_id").alias("_to"))
+    return links.join(decided, key, "left").select(*[
+        F.coalesce("_to", "identity_id").alias(c) if c == "identity_id" else F.when(F.col("_to").isNotNull(), F.lit(1)).otherwise(F.col(c)).alias(c) if c == "is_pinned" else F.col(c) for c in links.columns
+    ])
+
+
+def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame | None = None, links: DataFrame | None = None, batch: int = 0, blocked: DataFrame | None = None, create: bool = True, order: Sequence[str] = tuple(KEYED), licenses: DataFrame | None = None) -> Resolved:
     """Links and identities for the staged people that have no link yet; those given stay. Without `create`, people are only
-    linked to identities that there are."""
+    linked to identities that there are. `order` has the tiers; that of licences looks them up in `licenses`."""
     blocked = save(blocked if blocked is not None else blocklist(staged, config), "blocked")
     people = staged_keys(staged, blocked)
     if links is not None:
@@ -87,11 +112,19 @@ def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame |
     people = open_ = save(people, "people")
     made = _link(people.limit(0).withColumn("identity_id", F.lit(None).cast("long")), "new", config)
     held = identities.select(*IDENTITY) if identities is not None else _identity(people.limit(0), F.lit(None).cast("long"), 1.0)
-    for ordinal, (tier, key) in enumerate(KEYED.items()):
+    for tier in order:
+        if tier == LICENSE:
+            if licenses is not None:
+                now = save(_link(by_license(open_, staged, licenses, held), tier, config), "links")
+                made = made.unionByName(now)
+                held = save(fill_keys(held, now, people), "identities")
+                open_ = save(open_.join(now.select("stg_person_id"), "stg_person_id", "left_anti"), "open")
+            continue
+        ordinal, key = TIER_NAMES.index(tier), KEYED[tier]
         here = open_.where(F.col(key).isNotNull())
         if here.isEmpty():
             continue
-        known = identity_keys(held, blocked).where(F.col(key).isNotNull()).groupBy(key).agg(F.min("identity_id").alias("identity_id"))
+        known = identity_keys(held, blocked).where(F.col(key).isNotNull() & (F.col("status") == "active")).groupBy(key).agg(F.min("identity_id").alias("identity_id"))
         # one shuffle by the key serves the founders, the lookup and the link
         founders = here.groupBy(key).agg(F.min("stg_person_id").alias("stg_person_id")).join(known, key, "left_anti")
         base = (batch * 16 + ordinal) * SPAN
@@ -102,7 +135,7 @@ def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame |
         seeds = found.select("stg_person_id", "identity_id").join(people, "stg_person_id")
         held = held.unionByName(_identity(seeds, F.col("identity_id"), config.confidence(tier)))
         made = made.unionByName(now)
-        held = save(fill_keys(held, made, people), "identities")
+        held = save(fill_keys(held, now, people), "identities")  # only identities linked in this tier can change
         open_ = save(open_.join(now.select("stg_person_id"), "stg_person_id", "left_anti"), "open")
     if create:
         alone = open_.withColumn("identity_id", F.col("stg_person_id") + F.lit((batch * 16 + TIER_NAMES.index("new")) * SPAN))

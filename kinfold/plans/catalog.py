@@ -185,7 +185,7 @@ def identity_search_page(spark, d):
 
 
 def search_omitted_fields(spark, d):
-    small = ResolutionConfig(most_json_bytes=2000)
+    small = ResolutionConfig(most_json_bytes=4)  # any account at all
     return search.guarded(_profiles(spark, d), small).select("identity_id", F.array_contains("omitted_fields", "accounts").cast("int").alias("accounts_omitted"), F.col("accounts").isNull().cast("int").alias("accounts_null"))
 
 
@@ -319,7 +319,59 @@ def _resolution() -> str:
     return ",\n".join(out) + "\n"
 
 
+def _soundex(c: str) -> str:
+    """SQL for the American Soundex of the letters of a name."""
+    letters = f"upper(regexp_replace({c}, '[^A-Za-z]', '', 'g'))"
+    codes = f"translate(left({letters}, 1) || regexp_replace(substr({letters}, 2), '[HW]', '', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000077')"
+    for d in "123456":
+        codes = f"regexp_replace({codes}, '{d}+', '{d}', 'g')"
+    return f"CASE WHEN {letters} = '' THEN '0000' ELSE left({letters}, 1) || left(regexp_replace(substr({codes}, 2), '[07]', '', 'g') || '000', 3) END"
+
+
+def _norm(c: str) -> str:
+    return f"nullif(trim(lower(regexp_replace({c}, '[.\\s]+', ' ', 'g'))), '')"
+
+
+def _probabilistic() -> str:
+    """Blocks, pairs, filters and scores as common tables after those of the resolution. Names that pass the gate are equal
+    here, where both similarities are 1."""
+    w = CONFIG.weights
+    names = ", ".join(f"{_norm(f's.{c}_name')} AS p_{c}, {_norm(f'i.canonical_{c}')} AS i_{c}" for c in ("first", "middle", "last"))
+    return _RES + f""",
+blk AS MATERIALIZED (SELECT stg_person_id, {_soundex("last_name")} || '|' || coalesce(left(CAST(date_of_birth AS STRING), 4), '____') AS block FROM stg WHERE last_name IS NOT NULL),
+fits AS (SELECT block FROM blk GROUP BY block HAVING count(*) <= {CONFIG.block_cap}),
+pairs AS MATERIALIZED (SELECT DISTINCT a.stg_person_id, l.identity_id FROM blk a JOIN fits USING (block) JOIN blk b ON b.block = a.block AND b.stg_person_id <> a.stg_person_id JOIN link l ON l.stg_person_id = b.stg_person_id),
+sides AS MATERIALIZED (SELECT p.stg_person_id, p.identity_id, {names}, s.date_of_birth AS p_dob, i.canonical_dob AS i_dob, s.npi AS p_npi, i.npi AS i_npi,
+  lower(concat_ws(' ', s.last_name, s.first_name)) AS p_name, lower(concat_ws(' ', i.canonical_last, i.canonical_first)) AS i_name
+  FROM pairs p JOIN stg s ON s.stg_person_id = p.stg_person_id JOIN identity i ON i.identity_id = p.identity_id),
+filters AS MATERIALIZED (SELECT *, CAST(coalesce(year(p_dob) <> year(i_dob), false) OR coalesce(p_npi > 0 AND i_npi > 0 AND p_npi <> i_npi, false) AS INT) AS barred,
+  CAST(coalesce(p_first = i_first, false) AND coalesce(p_last = i_last, false) AND (p_dob IS NULL OR i_dob IS NULL OR year(p_dob) = year(i_dob))
+  AND (p_middle IS NULL OR i_middle IS NULL OR CASE WHEN length(p_middle) = 1 OR length(i_middle) = 1 THEN left(p_middle, 1) = left(i_middle, 1) ELSE p_middle = i_middle END) AS INT) AS gate FROM sides),
+places AS MATERIALIZED (SELECT p.stg_person_id, p.identity_id, max(CAST(coalesce(lower(trim(a.address1)) = lower(trim(r.address1)), false) AS INT)) AS same FROM pairs p JOIN address a ON a.stg_person_id = p.stg_person_id JOIN raddress r ON r.identity_id = p.identity_id AND r.zip = a.zip GROUP BY ALL),
+scores AS (SELECT f.stg_person_id, f.identity_id, round(least(jaro_winkler_similarity(p_name, i_name) * {w.name}::DOUBLE
+  + CASE WHEN p_dob = i_dob THEN {w.dob}::DOUBLE WHEN year(p_dob) = year(i_dob) THEN {w.dob / 2}::DOUBLE ELSE 0 END + CASE WHEN places.same = 1 THEN {w.address}::DOUBLE ELSE 0 END
+  + CASE WHEN places.same IS NOT NULL THEN {w.zip}::DOUBLE ELSE 0 END + CASE WHEN f.identity_id IN (SELECT identity_id FROM rexclusion WHERE registry IS NOT NULL) THEN {w.exclusion}::DOUBLE ELSE 0 END, 1.0::DOUBLE), 4) AS score
+  FROM filters f LEFT JOIN places ON places.stg_person_id = f.stg_person_id AND places.identity_id = f.identity_id WHERE barred = 0 AND gate = 1)
+"""
+
+
+def _nested(name: str, rows: str, fields: dict[str, str]) -> str:
+    """SQL for identity_id and the sorted rows of an identity as JSON."""
+    item = ", ".join(f"'{k}': {v}" for k, v in fields.items())
+    order = ", ".join(f"{v} NULLS FIRST" for v in fields.values() if v not in ("CAST(NULL AS STRING)", "false"))
+    return f"(SELECT identity_id, CAST(to_json(list({{{item}}} ORDER BY {order})) AS STRING) AS {name} FROM {rows} GROUP BY identity_id) USING (identity_id)"
+
+
 _RES = _resolution()
+_PASS_B = _probabilistic()
+_FLAGGED = {f: f"coalesce(m.{f} = 1, false)" for f in ("is_ssn_match", "is_npi_match", "is_canonical_name_match", "is_license_number_match")}
+_NESTED = {
+    "licenses": _nested("licenses", "rlicense", {"number": "license_number", "state": "certification_state", "board": "certification_board", "type": "license_type", "registry": "CAST(NULL AS STRING)", "verified": "false"}),
+    "identifiers": _nested("identifiers", "ridentifier", {"type": "id_type", "value": "id_value"}),
+    "exclusions": _nested("exclusions", "rexclusion x JOIN matches m ON m.id = x.match_id", {"match_id": "x.match_id", "registry": "x.registry", **_FLAGGED, "link_state": "x.link_state"}),
+    "accounts": "(SELECT identity_id, CAST(to_json(list(DISTINCT account_id ORDER BY account_id)) AS STRING) AS accounts FROM link JOIN stg USING (stg_person_id) WHERE account_id <> 0 GROUP BY identity_id) USING (identity_id)",
+    "aliases": _nested("aliases", "ialias", {"type": "alias_type", "first": "first_name", "last": "last_name"}),
+}
 _DOB = "CAST(CAST({0} AS DATE) AS STRING) AS {0}"
 _COUNT = lambda t, c, w="": f"(SELECT identity_id, count(*) AS n FROM {t} {w} GROUP BY identity_id) {c}"
 
@@ -356,7 +408,13 @@ ORACLES: dict[str, str] = {
     "alias_index": _RES + " SELECT * FROM aindex",
     "alias_coverage": _RES + " SELECT (SELECT count(DISTINCT identity_id) FROM aindex WHERE part = 'last') AS indexed, (SELECT count(DISTINCT identity_id) FROM ialias WHERE trim(last_name) <> '') AS expected",
     "identity_search_page": _RES + ", n AS (SELECT identity_id, count(*) AS record_count FROM link GROUP BY identity_id) SELECT identity_id, record_count, canonical_first AS first_name, canonical_last AS last_name FROM identity JOIN n USING (identity_id) WHERE lower(trim(canonical_last)) = 'lie' OR identity_id IN (SELECT identity_id FROM aindex WHERE lower(trim(name)) = 'lie') ORDER BY record_count DESC, identity_id LIMIT 25",
-    "search_omitted_fields": _RES + " SELECT identity_id, 0 AS accounts_omitted, 0 AS accounts_null FROM identity",
+    "search_omitted_fields": _RES + f" SELECT identity_id, CAST(coalesce(strlen(accounts), 2) > 4 AS INT) AS accounts_omitted, CAST(coalesce(strlen(accounts), 2) > 4 AS INT) AS accounts_null FROM identity LEFT JOIN {_NESTED['accounts']}",
+    "profile_nested_json": _RES + f" SELECT identity_id, {', '.join(f"coalesce({c}, '[]') AS {c}" for c in _NESTED)} FROM identity" + "".join(f" LEFT JOIN {q}" for q in _NESTED.values()),
+    "block_candidates": _PASS_B + " SELECT * FROM pairs",
+    "hard_no_filter": _PASS_B + " SELECT stg_person_id, identity_id, barred, gate FROM filters",
+    "score_bands": _PASS_B + f" SELECT stg_person_id, identity_id, score, CASE WHEN score >= {CONFIG.auto_merge_at} THEN 'auto_match' WHEN score >= {CONFIG.review_floor} THEN 'review' ELSE 'no_match' END AS band FROM scores",
+    "dedup_by_license": _RES.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", lk AS MATERIALIZED (SELECT DISTINCT identity_id, struct_pack(n := license_number, s := certification_state, b := certification_board)::STRING AS k FROM rlicense), pair AS MATERIALIZED (SELECT DISTINCT a.identity_id AS a, b.identity_id AS b FROM lk a JOIN lk b ON a.k = b.k WHERE a.identity_id <> b.identity_id), reach AS (SELECT DISTINCT a, a AS b FROM pair UNION SELECT r.a, p.b FROM reach r JOIN pair p ON p.a = r.b) SELECT a AS loser, min(b) AS survivor FROM reach GROUP BY a HAVING a <> min(b)",
     "credential_search_best": _RES + f", q AS (SELECT *, row_number() OVER (PARTITION BY identity_id, registry ORDER BY date_resolved DESC NULLS LAST, credential_match_id DESC) AS r, count(*) OVER (PARTITION BY identity_id, registry) AS links FROM rcredential WHERE match_summary_status_code IN (20, 30, 40, 45, 65, 70, 80, 85, 90) AND (expiry_date IS NULL OR expiry_date >= DATE '{TODAY}')) SELECT identity_id, registry, credential_match_id, links, {_DOB.format('date_resolved')} FROM q WHERE r = 1",
     "incremental_since_watermark": SOURCE + f" SELECT stg_person_id, {_DOB.format('source_modified')} FROM stg WHERE source_modified > TIMESTAMP '{SINCE}'",
     "resolution_quality": _RES + ", b AS (SELECT identity_id, truth_person, count(*) AS n FROM link JOIN employees e ON e.id = stg_person_id GROUP BY ALL) SELECT 'both' AS kind, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS pairs FROM b UNION ALL SELECT 'linked', CAST(sum(n * (n - 1) / 2) AS BIGINT) FROM (SELECT sum(n) AS n FROM b GROUP BY identity_id) UNION ALL SELECT 'true', CAST(sum(n * (n - 1) / 2) AS BIGINT) FROM (SELECT sum(n) AS n FROM b GROUP BY truth_person)",

@@ -49,6 +49,24 @@ def staged(spark: SparkSession, connector) -> Hub:
     return Hub(systems(spark, [connector]), save(connector.people(), "staged"))
 
 
+def staged_in_ranges(spark: SparkSession, connector, store: Store, ranges: list[tuple[int, int]]) -> Hub:
+    """The staged source, id range by id range (low and high included), each with a cursor `stg:low-high` once it is written:
+    a run after a broken one goes on with the ranges that are missing."""
+    for low, high in ranges:
+        name = f"stg:{low}-{high}"
+        done = store.read("cursors") if store.exists("cursors") else spark.createDataFrame([], "name string")
+        if done.where(F.col("name") == name).isEmpty():
+            connector.people(low, high).write.mode("overwrite").parquet(f"{store.root}/staged_ranges/{low}-{high}")
+            store.write("cursors", done.unionByName(spark.createDataFrame([(name,)], "name string")))
+    return Hub(systems(spark, [connector], store.read("systems") if store.exists("systems") else None), spark.read.parquet(*[f"{store.root}/staged_ranges/{low}-{high}" for low, high in ranges]))
+
+
+def clear_stage_cursors(store: Store) -> None:
+    """Forget what has been staged, so that the next run stages all ranges afresh."""
+    if store.exists("cursors"):
+        store.write("cursors", store.read("cursors").where(~F.col("name").startswith("stg:")))
+
+
 def resolved(hub: Hub, config: ResolutionConfig) -> Hub:
     config.warnings()
     found = resolve.resolve(hub.staged, config)

@@ -28,7 +28,11 @@ def children(staged: DataFrame, name: str) -> DataFrame:
     return staged.select("stg_person_id", F.inline(name))
 
 
-def systems(spark, connectors: list[Connector]) -> DataFrame:
-    """Registry of source systems: ids follow the order of the connectors."""
-    rows = [(i + 1, c.system_code, c.reliability_rank) for i, c in enumerate(connectors)]
+def systems(spark, connectors: list[Connector], held: DataFrame | None = None) -> DataFrame:
+    """Registry of source systems, a row for each: those of `held` stay as they are, and new codes get the next ids in the
+    order of the connectors."""
+    rows = [tuple(r) for r in held.select("system_id", "system_code", "reliability_rank").collect()] if held is not None else []
+    for c in connectors:
+        if c.system_code not in {r[1] for r in rows}:
+            rows.append((max((r[0] for r in rows), default=0) + 1, c.system_code, c.reliability_rank))
     return spark.createDataFrame(rows, "system_id int, system_code string, reliability_rank int")

@@ -96,5 +96,12 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/v={self.versions(name)[-1]}")
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Remove all but the newest `keep` snapshots of every table, but of those whose versions count or log batches."""
+        path, fs, jvm = self._path("")
+        for table in [s.getPath().getName() for s in fs.listStatus(path)]:
+            for v in self.versions(table)[:-keep] if table not in ("watermark", "cursors", "resolution_log") else ():
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/v={v}"), True)
+
     def exists(self, name: str) -> bool:
         return bool(self.versions(name))

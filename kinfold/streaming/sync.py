@@ -1,6 +1,6 @@
 """Incremental resolution: changed source records, batch by batch or as a stream.
 
-A batch links new people to the hub's identities by the deterministic tiers, then by probabilistic matching, and makes
+A batch links new people to the hub's identities by the deterministic tiers in the order for single records, then by probabilistic matching, and makes
 identities for those left by the tiers among themselves. Changed people keep their links; their staged row and children are replaced. Profiles of
 touched identities are rebuilt. Batches of ids keep older identities' ids the smaller ones.
 """
@@ -32,7 +32,7 @@ def apply_batch(hub: Hub, people: DataFrame, batch: int, connector=None, config:
     new = people.join(hub.links.select("stg_person_id"), "stg_person_id", "left_anti")
     own = [c for c in hub.identities.columns if c != "record_count"]
     known = hub.identities.select(*own)
-    first = resolve.resolve(new, config, known, hub.links, batch, hub.blocked, create=False)
+    first = resolve.resolve(new, config, known, hub.links, batch, hub.blocked, create=False, order=resolve.ROW_ORDER, licenses=hub.licenses)
     links, identities = save(first.links, "links"), save(first.identities, "identities")
     open_ = save(new.join(links.select("stg_person_id"), "stg_person_id", "left_anti"), "open")
     matched = save(probabilistic.match(open_, staged, links, identities, hub.addresses, hub.exclusions, config), "matched")
@@ -70,7 +70,7 @@ def apply_batch(hub: Hub, people: DataFrame, batch: int, connector=None, config:
 def sync(store: Store, connector, config: ResolutionConfig | None = None, built_at: str | None = None) -> Hub:
     """One poll: what the source changed since the watermark is applied, and the watermark moves on."""
     high = store.read("watermark").first()[0]
-    people = changed(connector.people(), high)
+    people = connector.people(since=high)  # the bound reaches the scan
     top = people.agg(F.max("source_modified")).first()[0]
     hub = Hub.load(store)
     if top is None:
@@ -79,6 +79,7 @@ def sync(store: Store, connector, config: ResolutionConfig | None = None, built_
     hub.write(store)
     store.write("resolution_log", log)
     store.write("watermark", log.sparkSession.createDataFrame([(top,)], "high_water timestamp"))
+    store.vacuum()
     return Hub.load(store)
 
 

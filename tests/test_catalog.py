@@ -38,6 +38,10 @@ def test_query(spark, data, oracle, name):
     assert got == want
 
 
+def test_some_accounts_are_omitted(spark, data):
+    assert {r["accounts_omitted"] for r in catalog.QUERIES["search_omitted_fields"](spark, data).collect()} == {0, 1}
+
+
 def test_known_totals(spark, data):
     links = catalog.QUERIES["identity_links_full"](spark, data)
     counts = {r["match_key"]: r["count"] for r in links.groupBy("match_key").count().collect()}

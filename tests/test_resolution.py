@@ -278,3 +278,86 @@ def test_store(spark, tmp_path):
     new = spark.createDataFrame([(3, None, "c"), (2, "k", "d"), (4, "n", "e"), (4, "n", "e")], rows.schema)
     assert sorted(r["v"] for r in insert_ignore(rows, new, ["k"]).collect()) == ["a", "b", "c", "e"]
     assert sorted(r["v"] for r in upsert(rows, new, ["k"]).collect()) == ["c", "d", "e"]
+
+
+def test_single_records_match_by_license_before_the_name(spark):
+    staged, found = run(spark, person(1, certification_number="C1", certification_state="NY"), person(2, first="zoe", certification_number="C2"), person(3, first="bob", dob="1980-01-01"))
+    held = enrich.licenses(staged, found.links)
+    new = people(spark, person(11, first="bob", dob="1980-01-01", certification_number="C1", certification_state="NY"), person(12, first="x", dob=None, certification_number="C2"), person(13, first="bob", dob="1980-01-01"), person(14, first="y", certification_number="C1", certification_state="NJ"))
+    again = resolve.resolve(new, CONFIG, found.identities, found.links, 1, found.blocked, create=False, order=resolve.ROW_ORDER, licenses=held)
+    got, first = of(again), of(found)
+    assert got[11] == (first[1][0], "license_state") and got[12] == (first[2][0], "license_state") and got[13] == (first[3][0], "name_dob") and 14 not in got
+
+
+def test_only_active_identities_take_part(spark):
+    staged, found = run(spark, person(1, npi=5), person(2, first="b", dob="1980-01-01", upin="u"))
+    gone = found.identities.withColumn("status", F.when(F.col("npi") == 5, "retired").otherwise(F.col("status")))
+    again = of(resolve.resolve(people(spark, person(11, npi=5), person(12, first="c", upin="U")), CONFIG, gone, found.links, 1, found.blocked))
+    assert again[11][0] != again[1][0] and again[12][0] == again[2][0]
+    twice = gone.withColumn("npi", F.lit(7).cast("long"))
+    out = dedup.merge_all(twice, enrich.licenses(staged, found.links), enrich.identifiers(staged, found.links), found.blocked)
+    assert out.identities.count() == 2 and out.log.count() == 0
+
+
+def test_pins_stay(spark):
+    staged, found = run(spark, person(1, address1="a st"), person(2, first="b", address1="b st"))
+    first = of(found)
+    pins = spark.createDataFrame([(1, "employees", 2, first[1][0])], "system_id int, source_table string, source_id long, identity_id long")
+    links = resolve.pin(found.links, pins)
+    assert {r["stg_person_id"]: (r["identity_id"], r["is_pinned"]) for r in links.collect()} == {1: (first[1][0], 0), 2: (first[1][0], 1)}
+    assert [r["address1"] for r in enrich.addresses(staged, links).collect()] == ["a st"]
+    assert links.columns == found.links.columns
+
+
+def test_long_chains_of_shared_licenses(spark):
+    rows = [(i, f"L{i // 2}" if k else f"M{(i + 1) // 2}", None, None) for i in range(90) for k in (0, 1)]
+    child = spark.createDataFrame(rows, "identity_id long, license_number string, certification_state string, certification_board string")
+    out = dedup.by_child(child, list(dedup.LICENSE_KEY), most_rounds=20).collect()
+    assert {r["loser"]: r["survivor"] for r in out} == {i: 0 for i in range(1, 90)}
+
+
+def test_staging_resumes_at_its_cursors(spark, tmp_path):
+    from kinfold.plans.pipeline import clear_stage_cursors, staged_in_ranges
+
+    asked = []
+
+    class Source:
+        system_code, reliability_rank = "x", 50
+
+        def people(self, low=None, high=None, since=None):
+            asked.append((low, high))
+            if high == 3 and len(asked) < 3:
+                raise OSError("the source is away")
+            return people(spark, *[person(i) for i in range(1, 4)]).where(F.col("stg_person_id").between(low, high))
+
+    store, ranges = Store(spark, f"file://{tmp_path}"), [(1, 1), (2, 3)]
+    with pytest.raises(OSError):
+        staged_in_ranges(spark, Source(), store, ranges)
+    assert staged_in_ranges(spark, Source(), store, ranges).staged.count() == 3 and asked == [(1, 1), (2, 3), (2, 3)]
+    clear_stage_cursors(store)
+    assert store.read("cursors").count() == 0
+
+
+def test_registry_keeps_ids(spark):
+    from kinfold.sources.base import systems
+
+    made = lambda code, rank: type("C", (), {"system_code": code, "reliability_rank": rank})()
+    held = systems(spark, [made("b", 1)])
+    assert sorted(map(tuple, systems(spark, [made("a", 2), made("b", 9)], held).collect())) == [(1, "b", 1), (2, "a", 2)]
+
+
+def test_store_keeps_two_snapshots(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    for i in range(4):
+        store.write("t", spark.range(i)), store.write("watermark", spark.range(i))
+    store.vacuum()
+    assert store.versions("t") == [3, 4] and store.versions("watermark") == [1, 2, 3, 4] and store.read("t").count() == 3
+
+
+def test_shards_are_those_of_crc32(spark):
+    import zlib
+
+    from kinfold.functions.text import shard_of
+
+    rows = spark.createDataFrame([(v,) for v in ("", "a", "é|x", "123456789")], "v string")
+    assert all(r["s"] == zlib.crc32(r["v"].encode()) % 7 for r in rows.select("v", shard_of(F.col("v"), 7).alias("s")).collect())

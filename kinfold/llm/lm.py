@@ -42,7 +42,7 @@ SIDE = 2
 ROUNDS = 2
 #: Adagrad's rate and the squares that it starts from.
 RATE, START = 0.1, 1e-6
-BATCH = 2048
+BATCH = 4096
 #: Added to each bucket's count.
 SMOOTH = 0.1
 #: Words whose shares are sent to all tasks; the others are looked up by a join, with the same result.
@@ -278,8 +278,11 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, batch_size:
                     chosen = targets(bucket, at, turn, rounds)
                     around, target = window(v.ids[bucket], at)[chosen], v.classes[bucket[chosen]]
                     order = np.random.default_rng(SEED + len(chosen)).permutation(len(chosen))
-                    for a in range(0, len(order), batch_size):
-                        net.step(around[order[a : a + batch_size]], target[order[a : a + batch_size]], squares)
+                    a = 0
+                    while a < len(order):  # small steps first
+                        part = order[a : a + min(batch_size, 512 + (seen + a) // 32)]
+                        net.step(around[part], target[part], squares)
+                        a += len(part)
                     seen += len(chosen)
             flat = net.flat() * np.float32(seen)
             cut = np.arange(0, size, chunk)

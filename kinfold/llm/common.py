@@ -22,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     the context, else (local runs and tests only) a fresh temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinfold-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")

@@ -21,6 +21,7 @@ that is not null, else null. An empty table gives no rows. Columns other than ke
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import save, tidy, tidy_group
-from kinfold.llm.components import components
+from kinfold.llm.components import components, spread
 from kinfold.llm.tokens import text_runs
 
 SHINGLE = 5
@@ -534,5 +535,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = M
     labelled = kinds.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component"))
     named = labelled.join(least, "root").select("cls", "component")
-    return rows.select("doc_id", "n", "cls").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    # copies of one text, and texts without words, may be any share of the rows: their class's name goes to each salt that has one
+    salted = rows.select("doc_id", "n", "cls", spread("doc_id", max(1, math.isqrt(rows.count()))).alias("salt"))
+    dealt = salted.where("cls IS NOT NULL").select("cls", "salt").distinct().join(named, "cls")
+    return salted.join(dealt, ["cls", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 

@@ -90,12 +90,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sums = save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-sums")
     targets = save(source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), **how), "mix-targets")
     start = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    named = [F.col("source").alias("s"), F.col("bucket").alias("b")]
-    starts = sums.select(*named, F.coalesce(F.sum("bucket_size").over(start), F.lit(0)).alias("bucket_start"))
-    starts = starts.join(targets.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    running = W.partitionBy("source", "bucket").orderBy("order", "key", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("own", F.coalesce(F.sum("size").over(running), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    # a name of the source that is never null: running sums and the join below then share one shuffle of the documents
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    starts = sums.select(name.alias("name"), "bucket", F.coalesce(F.sum("bucket_size").over(start), F.lit(0)).alias("bucket_start"))
+    starts = starts.join(targets.withColumn("name", name).drop("source"), "name")
+    running = W.partitionBy("name", "bucket").orderBy("order", "key", "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("name", name).withColumn("own", F.coalesce(F.sum("size").over(running), F.lit(0)))
+    placed = placed.join(starts, ["name", "bucket"])
     placed = placed.withColumn("before", F.col("bucket_start") + F.col("own"))
     due = lambda k: when_due(F.col("before") + F.lit(k) * F.col("source_size") + F.col("size") / 2, F.col("target"), F.col("ramp"))
     none = F.array().cast("array<double>")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import save
+from kinfold.llm.common import forget, save
 
 
 def spread(column: str, salts: int) -> Column:
@@ -53,7 +53,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if _settled(now):
             break
-        now = save(_small(_large(now, salts), salts), "edges")
+        before, now = now, save(_small(_large(now, salts), salts), "edges")
+        forget(before)
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

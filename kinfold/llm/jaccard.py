@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import save, tidy, tidy_group
+from kinfold.llm.common import forget, save, tidy, tidy_group
 from kinfold.llm.components import components, spread
 from kinfold.llm.tokens import text_runs
 
@@ -525,18 +525,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = M
     chosen = kinds.select("cls", "rep").join(blocks, "cls")
     texts = docs.join(chosen, F.col("key").eqNullSafe(F.col("rep")))
     sets = save(_sets_of(texts).dropDuplicates(["cls"]), "sets")
+    forget(routed, blocks)
     sizes = sets.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
     large = sizes.where(F.col("size") > most).select("block")
     n_tasks = max(1, int(sets.count() // 2_000) + 1)
     small = sets.join(large, "block", "left_anti").withColumn("own", F.pmod(F.xxhash64("block"), F.lit(n_tasks)))
     roots = save(small.groupBy("own").applyInArrow(tidy_group(_within), "a long, b long"), "stars").withColumnsRenamed({"a": "node", "b": "root"})
     if not large.isEmpty():
-        roots = roots.unionByName(join_large(save(sets.join(large, "block", "left_semi"), "large"), most).toDF("node", "root"))
+        rest = save(sets.join(large, "block", "left_semi"), "large")
+        roots = roots.unionByName(join_large(rest, most).toDF("node", "root"))
+        forget(rest)
+    forget(sets)
     labelled = kinds.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component"))
     named = labelled.join(least, "root").select("cls", "component")
     # copies of one text, and texts without words, may be any share of the rows: their class's name goes to each salt that has one
     salted = rows.select("doc_id", "n", "cls", spread("doc_id", max(1, math.isqrt(rows.count()))).alias("salt"))
     dealt = salted.where("cls IS NOT NULL").select("cls", "salt").distinct().join(named, "cls")
-    return salted.join(dealt, ["cls", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
-
+    out = save(salted.join(dealt, ["cls", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")), "linked")
+    forget(rows, kinds)
+    return out

@@ -121,7 +121,8 @@ class Network:
         h = hidden([emb @ into[p] for p in range(2 * SIDE)], around, w["hid"])
         z = h @ w["out"]
         z += w["bias"]
-        z -= z.max(axis=1, keepdims=True)
+        if not small(w):
+            z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
         z *= np.float32(1 / n) / (z @ np.ones((CLASSES, 1), np.float32))
         z[np.arange(n), target] -= np.float32(1 / n)
@@ -141,6 +142,12 @@ class Network:
             w[k] -= RATE * g / np.sqrt(squares[k])
 
 
+def small(w: dict[str, np.ndarray]) -> bool:
+    """Whether no score of a class can be beyond 80 either way (the hidden layer is within 1), so that its power is finite
+    and not 0 without taking the greatest score off."""
+    return bool((np.abs(w["bias"]) + np.abs(w["out"]).sum(axis=0)).max() < 80)
+
+
 def hidden(parts: list[np.ndarray], around: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """The hidden layer, from the parts of each id at each place."""
     h = parts[0].take(around[:, 0], axis=0)
@@ -170,12 +177,13 @@ class Scorer:
             self.parts = [w["emb"] @ w["into"][p] for p in range(2 * SIDE)]
         around = window(self.v.ids[bucket], at)
         target, out = self.v.classes[bucket], self.v.within[bucket].copy()
-        ones = np.ones(CLASSES, np.float32)
+        ones, bounded = np.ones(CLASSES, np.float32), small(w)
         for a in range(0, len(bucket), 4096):
             s = slice(a, a + 4096)
             z = hidden(self.parts, around[s], w["hid"]) @ w["out"]
             z += w["bias"]
-            z -= z.max(axis=1, keepdims=True)
+            if not bounded:
+                z -= z.max(axis=1, keepdims=True)
             t = z[np.arange(len(z)), target[s]]
             out[s] += t - np.log(np.exp(z, out=z) @ ones)
         return out

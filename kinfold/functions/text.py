@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -58,14 +59,14 @@ def block_key(last_name: Column, raw_dob: Column) -> Column:
     return F.when(clean(last_name).isNotNull(), F.concat(soundex_letters(clean(last_name)), F.lit("|"), year))
 
 
-def middle_compatible(a: Column, b: Column) -> Column:
-    a, b = name_norm(a), name_norm(b)
+def middle_compatible(a: Column, b: Column, norm: Callable[[Column], Column] = name_norm) -> Column:
+    a, b = norm(a), norm(b)
     initial = (F.length(a) == 1) | (F.length(b) == 1)
     return a.isNull() | b.isNull() | F.when(initial, F.substring(a, 1, 1) == F.substring(b, 1, 1)).otherwise(a == b)
 
 
-def suffix_compatible(a: Column, b: Column) -> Column:
-    a, b = name_norm(a), name_norm(b)
+def suffix_compatible(a: Column, b: Column, norm: Callable[[Column], Column] = name_norm) -> Column:
+    a, b = norm(a), norm(b)
     return a.isNull() | b.isNull() | (a == b)
 
 
@@ -77,8 +78,8 @@ def dob_conflicts(a: Column, b: Column) -> Column:
     return F.coalesce(F.year(a) != F.year(b), F.lit(False))
 
 
-def same_name(a: Column, b: Column) -> Column:
-    return F.coalesce(name_norm(a) == name_norm(b), F.lit(False))
+def same_name(a: Column, b: Column, norm: Callable[[Column], Column] = name_norm) -> Column:
+    return F.coalesce(norm(a) == norm(b), F.lit(False))
 
 
 def jaro_winkler_one(a: bytes, b: bytes) -> float:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.config import ResolutionConfig
-from kinfold.operators import dedup, materialize, probabilistic, resolve, search, survivorship
+from kinfold.operators import dedup, enrich, materialize, probabilistic, resolve, rollup, search, survivorship
 from kinfold.plans import pipeline
 from kinfold.sources import synthetic
 from kinfold.sources.base import children
@@ -194,24 +194,24 @@ def credential_search_best(spark, d):
     return rows.selectExpr("identity_id", "registry", "credential_match_id", "links", _day("date_resolved"))
 
 
-def _pairs(spark, d):
-    """All people with the candidates of their blocks."""
-    hub = _hub(spark, d)
-    return probabilistic.paired(probabilistic.candidates(hub.staged, hub.staged, hub.links, CONFIG), hub.staged, hub.identities, hub.addresses, hub.exclusions)
-
-
 def block_candidates(spark, d):
-    hub = _hub(spark, d)
+    hub = _hub(spark, d, "resolved")
     return probabilistic.candidates(hub.staged, hub.staged, hub.links, CONFIG)
 
 
 def hard_no_filter(spark, d):
-    return _pairs(spark, d).select("stg_person_id", "identity_id", probabilistic.hard_no().cast("int").alias("barred"), probabilistic.gate().cast("int").alias("gate"))
+    """All people with the candidates of their blocks."""
+    hub = _hub(spark, d, "resolved")
+    pairs = probabilistic.paired(hub.staged, hub.staged, hub.links, hub.identities, CONFIG)
+    return pairs.select("stg_person_id", "identity_id", probabilistic.hard_no().cast("int").alias("barred"), probabilistic.gate().cast("int").alias("gate"))
 
 
 def score_bands(spark, d):
+    hub, source = _hub(spark, d, "resolved"), synthetic.OrdersConnector(spark, d)
+    exclusions = rollup.exclusions(source.exclusions(), source.exclusion_records(), hub.links)
+    pairs = probabilistic.passed(hub.staged, hub.staged, hub.links, hub.identities, enrich.addresses(hub.staged, hub.links), exclusions, CONFIG)
     value = probabilistic.score(CONFIG)
-    return _pairs(spark, d).where(~probabilistic.hard_no() & probabilistic.gate()).select("stg_person_id", "identity_id", value.alias("score"), probabilistic.band(value, CONFIG).alias("band"))
+    return pairs.select("stg_person_id", "identity_id", value.alias("score"), probabilistic.band(value, CONFIG).alias("band"))
 
 
 def incremental_since_watermark(spark, d):

@@ -122,3 +122,11 @@ def test_probabilistic_queries_ask_for_all_people(spark, data):
     assert all(b == ("auto_match" if v >= 0.92 else "review" if v >= 0.75 else "no_match") for v, b in out.values())
     assert {b for _, b in out.values()} == {"auto_match", "review", "no_match"}
     assert {i % 5 == 0 for i, _ in out} == {True, False} and {b for b, _ in filters.values()} == {0, 1}
+
+
+@pytest.mark.parametrize(("name", "key"), [("hard_no_filter", "block"), ("score_bands", "first_name")])
+def test_pairs_are_made_last_and_never_moved(spark, data, name, key):
+    """Pairs are by far the most rows: both sides bring all that is asked of them, and the score's pairs meet by name."""
+    lines = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(lines) if "Join" in x)
+    assert key in lines[join] and not any("Exchange" in x or "Aggregate" in x for x in lines[:join])

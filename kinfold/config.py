@@ -61,7 +61,6 @@ class ResolutionConfig:
     keep_null_codes: bool = True
     most_links: int = 10_000
     most_json_bytes: int = 2_097_152
-    alias_cap: int = 2000
 
     def confidence(self, tier: str) -> float:
         return dict(TIERS)[tier]

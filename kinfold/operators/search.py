@@ -37,14 +37,15 @@ def check_request(last_name: str, first_name: str | None, page: int, per_page: i
         raise ValueError("per_page is from 1 to 100")
 
 
-def hits(profiles: DataFrame, aliases: DataFrame, last_name: str, first_name: str | None, config: ResolutionConfig) -> DataFrame:
+def hits(profiles: DataFrame, aliases: DataFrame, last_name: str, first_name: str | None) -> DataFrame:
     """identity_id, record_count of identities of that name, or with an alias (of either part) equal to the last name; the
-    first name is not asked of aliases. Two index lookups, no scan of nested columns."""
+    first name is not asked of aliases. All identities with the alias count, as the page is chosen by records, not by ids.
+    Two index lookups, no scan of nested columns."""
     wanted = F.lit(last_name.strip().lower())
     canonical = match_key(F.col("last_name")) == wanted
     if first_name:
         canonical = canonical & (match_key(F.col("first_name")) == F.lit(first_name.strip().lower()))
-    by_alias = aliases.where(match_key(F.col("name")) == wanted).select("identity_id").distinct().orderBy("identity_id").limit(config.alias_cap)
+    by_alias = aliases.where(match_key(F.col("name")) == wanted).select("identity_id")
     narrow = profiles.select("identity_id", "record_count", canonical.alias("hit"))
     named = narrow.where("hit").select("identity_id", "record_count")
     return named.unionByName(narrow.join(by_alias, "identity_id", "left_semi").select("identity_id", "record_count")).distinct()
@@ -74,7 +75,7 @@ def search(profiles: DataFrame, aliases: DataFrame, last_name: str, first_name:
     """One page, most records first, then smallest id. Narrow rows are sorted; only the page's profiles are read in full."""
     config = config or ResolutionConfig()
     check_request(last_name, first_name, page, per_page)
-    found = hits(profiles, aliases, last_name, first_name, config)
+    found = hits(profiles, aliases, last_name, first_name)
     chosen = found.orderBy(F.desc("record_count"), "identity_id").offset((page - 1) * per_page).limit(per_page)
     # per_page rows at most
     rows = profiles.join(F.broadcast(chosen.select("identity_id")), "identity_id", "left_semi")

@@ -233,6 +233,13 @@ def test_alias_index_and_search(spark):
     assert "source_records" in small["omitted_fields"] and small["source_records"] is None and small["licenses"] == []
 
 
+def test_search_takes_all_identities_with_an_alias(spark):
+    profiles = spark.range(2100).selectExpr("id AS identity_id", "id AS record_count", "'ann' AS first_name", "'lee' AS last_name")
+    aliases = spark.range(2100).selectExpr("' Ray' AS name", "id AS identity_id", "'last' AS part")
+    found = search.hits(profiles, aliases, "ray", None)
+    assert found.count() == 2100 and found.agg({"record_count": "max"}).first()[0] == 2099
+
+
 def test_credential_search(spark):
     hub = hub_of(spark, people(spark, person(1), person(2, first="bob")))
     i = {r["canonical_first"]: r["identity_id"] for r in hub.identities.collect()}

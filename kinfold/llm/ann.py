@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import partitions, save
+from kinfold.llm.common import save
 
 TREES = 8
 SHARE = 0.7
@@ -31,6 +31,8 @@ LEAF_ROWS = 64
 MOST_LEAVES = 4096
 SAMPLE_OF_LEAF = 20
 BLOCK_ROWS = 40_000
+#: Blocks of a small index. More would only bring each query's nearest more often: its rows grow with the blocks.
+LEAST_BLOCKS = 16
 #: Rows of a block that are compared with a run of queries at a time.
 STRIPE = 1000
 SEED = 7
@@ -213,7 +215,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id"
     sample = base.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE_OF_LEAF * leaves).select("vec").toArrow()
     forest = Forest(unit(matrix(sample.column(0).combine_chunks())), leaves, trees)
     shared = spark.sparkContext.broadcast(forest)
-    n_blocks = max(1, min(forest.n_leaves, max(partitions(spark), n * trees // BLOCK_ROWS)))
+    n_blocks = max(1, min(forest.n_leaves, max(LEAST_BLOCKS, n * trees // BLOCK_ROWS)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(shared.value.n_leaves, np.int64)

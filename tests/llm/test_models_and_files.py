@@ -69,6 +69,19 @@ def test_ann_ties_of_parallel_and_symmetric_vectors(spark):
     assert [(r["vec_id"], round(r["score"], 12)) for r in got if r["query_id"] == 150] == [(i, -v) for v, i in want[150]]
 
 
+def test_ann_blocks_follow_the_index_and_not_the_partitions(spark):
+    rng, plans, before = np.random.default_rng(4), [], spark.conf.get("spark.sql.shuffle.partitions")
+    rows = vectors(spark, [(i, rng.normal(size=8).tolist(), 0, 1, "x") for i in range(640)])
+    try:
+        for n in ("4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            plan = ann.search(rows, F.col("vec_id") % 50 == 0)._jdf.queryExecution().analyzed().toString()
+            plans.append([x.split("block#")[1].split(",")[1:] for x in plan.splitlines() if "RepartitionByExpression" in x])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(plans[0]) == 1 and plans[0] == plans[1]
+
+
 def test_ann_streams_queries_past_a_block():
     rng = np.random.default_rng(5)
     r, q, vid = rng.normal(size=(2300, 6)), rng.normal(size=(30, 6)), rng.permutation(2300)

@@ -4,7 +4,9 @@ Documents longer than a sequence are cut; the pieces are dealt by hash into cell
 holds an unbounded group, and each cell is packed by several islands (tasks with seeds of their own). An island evolves
 a small population: crossover injects whole well-filled bins of one parent into another, removes the bins that hold a
 piece twice, and best-fits the displaced pieces; mutation dissolves poorly filled bins. After each epoch every island's
-best packing migrates to the next island of its cell. The best packing over a cell's islands is kept.
+best packing migrates to the next island of its cell. The best packing over a cell's islands is kept. An island stops
+early only at a packing that none can beat: as few sequences as the sizes allow, and all but one of them full. What the
+cells leave over meets once more: the emptiest sequence of each cell is taken up again, together with those of other cells.
 
 Null texts are empty (end id only); repeated rows are packed each on its own; an empty table gives an empty result;
 extra columns are not read.
@@ -29,8 +31,10 @@ CAPACITY = 2048
 CELL = 40_000
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 3
-GENERATIONS = 3
+POPULATION = 8
+GENERATIONS = 12
+#: Cells whose emptiest sequences are packed together at the end.
+JOINED_CELLS = 64
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
@@ -110,6 +114,11 @@ def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, fl
     return -len(load), float(np.mean((load / capacity) ** 2)) if len(load) else 0.0
 
 
+def unbeatable(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> bool:
+    """Whether all bins but one are full, so that no packing has fewer or fuller ones."""
+    return int((np.bincount(bins, sizes) < capacity).sum()) <= 1
+
+
 def falling(sizes: np.ndarray, items: np.ndarray, rng: np.random.Generator, noise: float) -> np.ndarray:
     return items[np.argsort(-(sizes[items] * (1 + noise * rng.random(len(items)))), kind="stable")]
 
@@ -141,25 +150,26 @@ def mutate(sizes: np.ndarray, a: np.ndarray, capacity: int, rng: np.random.Gener
 def evolve(sizes: np.ndarray, capacity: int, seed: int, start: list[np.ndarray], population: int = POPULATION, generations: int = GENERATIONS) -> np.ndarray:
     """The best packing that an island finds from the packings in `start` and its own."""
     rng = np.random.default_rng(seed)
-    every, least = np.arange(len(sizes)), -(-int(sizes.sum()) // capacity)
-    pool = [*start]
+    every = np.arange(len(sizes))
+    scored = lambda x: (fitness(sizes, x, capacity), x)
+    first = lambda x: x[0]
+    pool = [scored(x) for x in start]
     while len(pool) < population:
-        pool.append(best_fit(sizes, falling(sizes, every, rng, 0.0 if not pool else rng.uniform(0.02, 0.3)), capacity))
-    score = lambda x: fitness(sizes, x, capacity)
-    pool.sort(key=score, reverse=True)
+        pool.append(scored(best_fit(sizes, falling(sizes, every, rng, 0.0 if not pool else rng.uniform(0.02, 0.3)), capacity)))
+    pool.sort(key=first, reverse=True)
     for _ in range(generations):
-        if -score(pool[0])[0] <= least:
+        if unbeatable(sizes, pool[0][1], capacity):
             break
         i, j = rng.permutation(len(pool))[:2]
-        for child in (crossover(sizes, pool[i], pool[j], capacity, rng), mutate(sizes, pool[0], capacity, rng)):
-            if score(child) > score(pool[-1]):
-                pool[-1] = child
-                pool.sort(key=score, reverse=True)
-    return pool[0]
+        for child in (crossover(sizes, pool[i][1], pool[j][1], capacity, rng), mutate(sizes, pool[0][1], capacity, rng)):
+            if (new := scored(child))[0] > pool[-1][0]:
+                pool[-1] = new
+                pool.sort(key=first, reverse=True)
+    return pool[0][1]
 
 
 def islander(capacity: int, epoch: int):
-    """What one island does in one epoch with the pieces of its cell."""
+    """What one island does in one epoch with the pieces of its cell. `loose`: the piece is in the emptiest sequence."""
 
     def island(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["length", "doc_id", "piece", "uid"], ascending=[False, True, True, True], ignore_index=True)
@@ -168,6 +178,7 @@ def islander(capacity: int, epoch: int):
         best = evolve(sizes, capacity, (int(g["cell"].iloc[0]) * 1009 + int(g["island"].iloc[0])) * 31 + epoch, start)
         g["own"], g["guest"] = best, -1
         g["bins"], g["fill"] = -fitness(sizes, best, capacity)[0], fitness(sizes, best, capacity)[1]
+        g["loose"] = best == np.bincount(best, sizes).argmin()
         order = np.argsort(best, kind="stable")
         before = np.cumsum(sizes[order]) - sizes[order]
         first = np.flatnonzero(np.diff(best[order], prepend=-1))
@@ -189,16 +200,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands:
         F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
         "uid", "doc_id", "piece", "length", F.lit(-1).cast("long").alias("own"), F.lit(-1).cast("long").alias("guest"),
     )
-    schema = "cell int, island int, uid long, doc_id long, piece int, length long, own long, guest long, bins long, fill double, offset long"
+    schema = "cell int, island int, uid long, doc_id long, piece int, length long, own long, guest long, bins long, fill double, loose boolean, offset long"
     for epoch in range(epochs):
         placed = save(placed.groupBy("cell", "island").applyInPandas(tidy_group(islander(capacity, epoch)), schema), f"islands-{epoch}")
         if epoch + 1 < epochs:
             elite = placed.select("cell", ((F.col("island") + 1) % islands).alias("island"), "uid", F.col("own").alias("guest"))
-            placed = placed.drop("guest", "bins", "fill", "offset").join(elite, ["cell", "island", "uid"])
+            placed = placed.drop("guest", "bins", "fill", "loose", "offset").join(elite, ["cell", "island", "uid"])
             placed = placed.select("cell", "island", "uid", "doc_id", "piece", "length", "own", "guest")
     won = placed.groupBy("cell").agg(F.min(F.struct("bins", (-F.col("fill")).alias("fill"), "island")).alias("w")).select("cell", F.col("w.island").alias("island"))
     won = placed.join(won, ["cell", "island"], "left_semi")
-    return won.select("uid", ((F.col("cell").cast("long") * (1 << 32)) + F.col("own")).alias("sequence_id"), "offset")
+    named = lambda t: t.select("uid", ((F.col("cell").cast("long") * (1 << 32)) + F.col("own")).alias("sequence_id"), "offset")
+    if n_cells == 1:
+        return named(won)
+    # the packing that the cells bring is among those to start from, so there are never more sequences than before
+    brought = won.where("loose").select((F.lit(n_cells) + F.floor(F.col("cell") / JOINED_CELLS)).cast("int").alias("cell"), F.lit(0).alias("island"), "uid", "doc_id", "piece", "length", (F.col("cell").cast("long")).alias("own"), F.lit(-1).cast("long").alias("guest"))
+    joined = brought.groupBy("cell", "island").applyInPandas(tidy_group(islander(capacity, epochs)), schema)
+    return named(won.where("NOT loose")).unionByName(named(joined))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end_id: int = 0, **how) -> DataFrame:

@@ -232,6 +232,34 @@ def test_genetic_operators_keep_packings_valid():
     assert packing.fitness(sizes, best, 100) >= packing.fitness(sizes, a, 100)
 
 
+def test_islands_go_on_where_best_fit_meets_the_bound(monkeypatch):
+    """Best fit has the fewest sequences here, but several that are not full: the search is not left out."""
+    sizes, runs = np.full(60, 33), []
+    first = packing.best_fit(sizes, np.arange(60), 100)
+    assert len(np.unique(first)) == 20 and not packing.unbeatable(sizes, first, 100)
+    cross = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *x: (runs.append(1), cross(*x))[1])
+    assert packing.fitness(sizes, packing.evolve(sizes, 100, 5, []), 100) >= packing.fitness(sizes, first, 100)
+    assert len(runs) == packing.GENERATIONS
+    runs.clear()
+    full = np.array([60, 60, 40, 40, 50])
+    assert packing.unbeatable(full, packing.evolve(full, 100, 5, []), 100) and not runs
+
+
+def test_cells_share_what_they_leave_over(spark):
+    """Ten cells of about ten pieces: alone, each would leave a sequence that is hardly filled."""
+    items = spark.range(100).selectExpr("id AS uid", "id AS doc_id", "0 AS piece", "30L AS length")
+    got = packing.pack(items, 100, cell=10).join(items, "uid").collect()
+    assert len(got) == 100 and len({r["uid"] for r in got}) == 100
+    spans = {}
+    for r in got:
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for x in spans.values():
+        x.sort()
+        assert [a for a, _ in x] == [30 * i for i in range(len(x))] and len(x) <= 3
+    assert len(spans) == 34  # three pieces in each
+
+
 def test_mixing(spark):
     texts = made(9)
     docs = frame(spark, texts)

@@ -6,8 +6,6 @@ import hashlib
 import re
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,20 +108,34 @@ def jaro_winkler_one(a: bytes, b: bytes) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
-def _jaro_winkler_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], float] = {}
-
-    def one(pair: tuple) -> float:
-        if pair not in known:
-            known[pair] = jaro_winkler_one((pair[0] or "").encode(), (pair[1] or "").encode())
-        return known[pair]
-
-    return pd.Series(np.array([one(p) for p in zip(a, b, strict=True)], float))
-
-
 def jaro_winkler(a: Column, b: Column) -> Column:
-    """Equal strings are decided in the JVM; only the others cross to Python, in Arrow batches."""
-    return F.when(a == b, F.lit(1.0)).otherwise(F.pandas_udf(_jaro_winkler_batch, "double")(a, b))
+    """`jaro_winkler_one` in expressions, null as empty. Equal strings are decided first: a Python function would be given
+    all rows, whatever branch it stands in."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    both = F.struct(*[F.regexp_extract_all(F.hex(c), F.lit(".."), 0).alias(n) for n, c in (("x", a), ("y", b))])
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.transform(F.array(both), lambda s: _jaro_winkler_bytes(s["x"], s["y"]))[0])
+
+
+def _jaro_winkler_bytes(x: Column, y: Column) -> Column:
+    n, m = F.size(x), F.size(y)
+    reach = F.greatest(F.lit(0), F.floor(F.greatest(n, m) / 2).cast("int") - 1)
+
+    def take(used: Column, i: Column) -> Column:
+        """The places of `y` that the bytes so far have taken, -1 for a byte that has none."""
+        free = lambda j: (j <= i + reach) & (j >= i - reach) & (F.get(y, j) == F.get(x, i)) & ~F.array_contains(used, j)
+        return F.concat(used, F.array(F.coalesce(F.get(F.filter(F.sequence(F.lit(0), m - 1), free), F.lit(0)), F.lit(-1))))
+
+    def value(used: Column) -> Column:
+        left = F.filter(x, lambda _, i: F.get(used, i) >= 0)
+        right = F.transform(F.array_sort(F.filter(used, lambda j: j >= 0)), lambda j: F.get(y, j))
+        k, t = F.size(left), F.size(F.filter(F.zip_with(left, right, lambda u, v: u != v), lambda v: v)) / 2
+        jaro = (k / n + k / m + (k - t) / k) / 3
+        same = lambda c, i: F.when((c == i) & F.coalesce(F.get(x, i) == F.get(y, i), F.lit(False)), c + 1).otherwise(c)
+        prefix = F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0), same)
+        whole = F.transform(F.array(jaro), lambda v: v + prefix * F.lit(0.1) * (1 - v))[0]
+        return F.when(k == 0, 0.0).otherwise(whole)
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.array().cast("array<int>"), take, value)
 
 
 def shard_of(c: Column, shards: int) -> Column:

@@ -24,5 +24,10 @@ def addresses(staged: DataFrame, links: DataFrame) -> DataFrame:
     return _of_identity(staged, links, "addresses").groupBy(*key).agg(F.max("address2").alias("address2"), F.max("is_primary").alias("is_primary"), F.min("link_id").alias("link_id"))
 
 
+def places(staged: DataFrame, links: DataFrame) -> DataFrame:
+    """identity_id, address1 and zip of all addresses, not made unique: for those who gather them by identity anyway."""
+    return _of_identity(staged, links, "addresses").select("identity_id", "address1", "zip")
+
+
 def identifiers(staged: DataFrame, links: DataFrame) -> DataFrame:
     return _of_identity(staged, links, "identifiers").groupBy("identity_id", "id_type", "id_value").agg(F.min("link_id").alias("link_id"))

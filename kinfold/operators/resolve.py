@@ -57,6 +57,13 @@ def identity_keys(identities: DataFrame, blocked: DataFrame) -> DataFrame:
     return _unblocked(identities.withColumns(key_columns("canonical_first", "canonical_last", "canonical_dob")), blocked)
 
 
+def holders(identities: DataFrame, blocked: DataFrame, key: str) -> DataFrame:
+    """Each value of a key with the smallest active identity that has it."""
+    rows = identities.where("status = 'active'").select("identity_id", key_columns("canonical_first", "canonical_last", "canonical_dob")[key].alias(key))
+    rows = _unblocked(rows, blocked) if key == "key_ssn" else rows
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("identity_id").alias("identity_id"))
+
+
 def _unblocked(rows: DataFrame, blocked: DataFrame) -> DataFrame:
     bad = blocked.select(F.col("key_ssn").alias("_bad"))
     return rows.join(bad, rows["key_ssn"] == F.col("_bad"), "left").withColumn("key_ssn", F.when(F.col("_bad").isNull(), F.col("key_ssn"))).drop("_bad")
@@ -81,6 +88,22 @@ def fill_keys(identities: DataFrame, links: DataFrame, people: DataFrame) -> Dat
     return joined.select("identity_id", *[F.coalesce(F.col(c), F.when(F.col("status") == "active", F.col(f"_{c}"))).alias(c) for c in FILLED], "canonical_suffix", "confidence", "status")
 
 
+def with_founded(held: DataFrame, here: DataFrame, known: DataFrame, key: str, base: int, confidence: float) -> DataFrame:
+    """`held` after all people of `here` are linked by `key`: an identity for each value that none of `known` has, founded by
+    its smallest person, and empty columns filled as `fill_keys` does. A value's people are brought together once."""
+    first = F.struct("stg_person_id", *FILLED.values(), "name_suffix")
+    groups = here.groupBy(key).agg(F.min(first).alias("first"), *[F.max(s).alias(f"_{c}") for c, s in FILLED.items()]).join(known, key, "left")
+    new = F.col("identity_id").isNull()
+    groups = groups.select(
+        F.coalesce("identity_id", F.col("first.stg_person_id") + F.lit(base)).alias("identity_id"), *[F.coalesce(F.when(new, F.col(f"first.{s}")), F.col(f"_{c}")).alias(f"_{c}") for c, s in FILLED.items()],
+        F.when(new, F.col("first.name_suffix")).alias("_suffix"), F.when(new, F.lit(confidence).cast("decimal(5,4)")).alias("_confidence"), F.when(new, F.lit("active")).alias("_status"),
+    )
+    return held.join(groups, "identity_id", "full_outer").select(
+        "identity_id", *[F.coalesce(c, f"_{c}").alias(c) for c in FILLED], F.coalesce("canonical_suffix", "_suffix").alias("canonical_suffix"),
+        F.coalesce("confidence", "_confidence").alias("confidence"), F.coalesce("status", "_status").alias("status"),
+    )
+
+
 def by_license(open_: DataFrame, staged: DataFrame, licenses: DataFrame, identities: DataFrame) -> DataFrame:
     """`open_` with identity_id: the smallest active identity that has a licence of the person, by number and state (none equals none)."""
     mine = staged.join(open_.select("stg_person_id"), "stg_person_id", "left_semi").select("stg_person_id", F.inline("licenses")).select("stg_person_id", "license_number", "certification_state")
@@ -102,6 +125,15 @@ def pin(links: DataFrame, pins: DataFrame) -> DataFrame:
     ])
 
 
+def _asked(people: DataFrame, tiers: Sequence[str]) -> dict[str, bool]:
+    """Whether any people have the key of a tier and none of the tiers before it."""
+    open_, found = F.lit(True), []
+    for t in tiers:
+        found.append(F.coalesce(F.max(open_ & F.col(KEYED[t]).isNotNull()), F.lit(False)).alias(t))
+        open_ = open_ & F.col(KEYED[t]).isNull()
+    return people.agg(*found).first().asDict()
+
+
 def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame | None = None, links: DataFrame | None = None, batch: int = 0, blocked: DataFrame | None = None, create: bool = True, order: Sequence[str] = tuple(KEYED), licenses: DataFrame | None = None) -> Resolved:
     """Links and identities for the staged people that have no link yet; those given stay. Without `create`, people are only
     linked to identities that there are. `order` has the tiers; that of licences looks them up in `licenses`."""
@@ -112,6 +144,7 @@ def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame |
     people = open_ = save(people, "people")
     made = _link(people.limit(0).withColumn("identity_id", F.lit(None).cast("long")), "new", config)
     held = identities.select(*IDENTITY) if identities is not None else _identity(people.limit(0), F.lit(None).cast("long"), 1.0)
+    asked = _asked(people, [t for t in order if t != LICENSE]) if create else {}
     for tier in order:
         if tier == LICENSE:
             if licenses is not None:
@@ -122,18 +155,15 @@ def resolve(staged: DataFrame, config: ResolutionConfig, identities: DataFrame |
             continue
         ordinal, key = TIER_NAMES.index(tier), KEYED[tier]
         here = open_.where(F.col(key).isNotNull())
-        if here.isEmpty():
+        if not asked[tier] if create else here.isEmpty():
+            continue
+        known = holders(held, blocked, key)
+        if create:  # all who have the key are linked by it, so who stays open is known without a join, and links are made once all tiers are through
+            held = save(with_founded(held, here, known, key, (batch * 16 + ordinal) * SPAN, config.confidence(tier)), "identities")
+            made = made.unionByName(_link(here.join(holders(held, blocked, key), key), tier, config))
+            open_ = open_.where(F.col(key).isNull())
             continue
-        known = identity_keys(held, blocked).where(F.col(key).isNotNull() & (F.col("status") == "active")).groupBy(key).agg(F.min("identity_id").alias("identity_id"))
-        # one shuffle by the key serves the founders, the lookup and the link
-        founders = here.groupBy(key).agg(F.min("stg_person_id").alias("stg_person_id")).join(known, key, "left_anti")
-        base = (batch * 16 + ordinal) * SPAN
-        if not create:
-            founders = founders.limit(0)
-        found = founders.withColumn("identity_id", F.col("stg_person_id") + F.lit(base))
-        now = save(_link(here.join(known.unionByName(found.select(key, "identity_id")), key), tier, config), "links")
-        seeds = found.select("stg_person_id", "identity_id").join(people, "stg_person_id")
-        held = held.unionByName(_identity(seeds, F.col("identity_id"), config.confidence(tier)))
+        now = save(_link(here.join(known, key), tier, config), "links")
         made = made.unionByName(now)
         held = save(fill_keys(held, now, people), "identities")  # only identities linked in this tier can change
         open_ = save(open_.join(now.select("stg_person_id"), "stg_person_id", "left_anti"), "open")

@@ -40,6 +40,18 @@ def _hub(spark: SparkSession, folder: str, upto: str = "rolled") -> pipeline.Hub
     return _HUBS[key]
 
 
+def _matched(spark: SparkSession, folder: str) -> pipeline.Hub:
+    """The resolved hub for a query that reads no aliases, licences and identifiers: that of the session if it has staged
+    whole people, else one of people staged without these."""
+    app = spark.sparkContext.applicationId
+    if (app, folder, "staged") in _HUBS:
+        return _hub(spark, folder, "resolved")
+    key = (app, folder, "matched")
+    if key not in _HUBS:
+        _HUBS[key] = pipeline.resolved(pipeline.staged(spark, synthetic.OrdersConnector(spark, folder), ("aliases", "licenses", "identifiers")), CONFIG)
+    return _HUBS[key]
+
+
 def _day(c: str) -> str:
     return f"CAST(CAST({c} AS DATE) AS STRING) AS {c}"
 
@@ -207,9 +219,9 @@ def hard_no_filter(spark, d):
 
 
 def score_bands(spark, d):
-    hub, source = _hub(spark, d, "resolved"), synthetic.OrdersConnector(spark, d)
+    hub, source = _matched(spark, d), synthetic.OrdersConnector(spark, d)
     exclusions = rollup.exclusions(source.exclusions(), source.exclusion_records(), hub.links)
-    pairs = probabilistic.passed(hub.staged, hub.staged, hub.links, hub.identities, enrich.addresses(hub.staged, hub.links), exclusions, CONFIG)
+    pairs = probabilistic.passed(hub.staged, hub.staged, hub.links, hub.identities, enrich.places(hub.staged, hub.links), exclusions, CONFIG)
     value = probabilistic.score(CONFIG)
     return pairs.select("stg_person_id", "identity_id", value.alias("score"), probabilistic.band(value, CONFIG).alias("band"))
 

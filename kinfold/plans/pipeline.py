@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,9 @@ class Hub:
         return cls(**{f.name: store.read(f.name) for f in fields(cls) if store.exists(f.name)})
 
 
-def staged(spark: SparkSession, connector) -> Hub:
-    return Hub(systems(spark, [connector]), save(connector.people(), "staged"))
+def staged(spark: SparkSession, connector, without: Sequence[str] = ()) -> Hub:
+    """The staged source; columns that no later step reads can be left out."""
+    return Hub(systems(spark, [connector]), save(connector.people().drop(*without), "staged"))
 
 
 def staged_in_ranges(spark: SparkSession, connector, store: Store, ranges: list[tuple[int, int]]) -> Hub:

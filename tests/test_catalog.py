@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 from kinfold.functions.text import jaro_winkler_one
-from kinfold.plans import catalog
+from kinfold.operators import resolve
+from kinfold.plans import catalog, pipeline
 from kinfold.plans.pipeline import Hub, backfill
 from kinfold.sources.synthetic import OrdersConnector
 from kinfold.store import Store
@@ -130,3 +131,30 @@ def test_pairs_are_made_last_and_never_moved(spark, data, name, key):
     lines = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString().splitlines()
     join = next(i for i, x in enumerate(lines) if "Join" in x)
     assert key in lines[join] and not any("Exchange" in x or "Aggregate" in x for x in lines[:join])
+
+
+def test_scores_stage_and_save_only_what_they_read(spark, data, monkeypatch):
+    """The scores alone, without the hub of the session: the same rows, of people without children that no score reads, in
+    one saved step a tier and without Python."""
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    expected, saved = rows(catalog.score_bands(spark, data)), []
+
+    def kept(df, name, save=resolve.save):
+        saved.append((name, df.columns))
+        return save(df, name)
+
+    monkeypatch.setattr(catalog, "_HUBS", {})
+    monkeypatch.setattr(resolve, "save", kept)
+    monkeypatch.setattr(pipeline, "save", kept)
+    out = catalog.score_bands(spark, data)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == expected
+    assert [n for n, _ in saved] == ["staged", "blocked", "people", *["identities"] * 4, "links", "identities"]
+    assert not {"aliases", "licenses", "identifiers"} & {*saved[0][1]}
+
+
+def test_bounds_reach_the_scan_of_dealt_orders(spark, data):
+    """Orders are dealt out before they are made into people, and only those of the bounds."""
+    plan = OrdersConnector(spark, data).people(10, 99)._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[plan.index("REPARTITION_BY_COL"):]
+    assert "GreaterThanOrEqual(o_orderkey,10)" in dealt and "LessThanOrEqual(o_orderkey,99)" in dealt

@@ -27,6 +27,14 @@ def test_jaro_winkler_column(spark):
     assert got == pytest.approx([0.961111, 1.0, 0.0], abs=1e-5)
 
 
+def test_jaro_winkler_column_equals_the_function_without_python(spark):
+    names = ["", "lee ann", "lee  ann", "lee. ann", "martha", "marhta", "dwayne", "duane", "dixon", "dicksonx", "aabbaabb", "bbaabbaa", "abcabc", "cbacba", "x", "日本 é", "日本 e", None]
+    rows = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    out = rows.select("a", "b", T.jaro_winkler(F.col("a"), F.col("b")).alias("v"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert all(r["v"] == T.jaro_winkler_one((r["a"] or "").encode(), (r["b"] or "").encode()) for r in out.collect())
+
+
 def test_cleaning(spark):
     rows = spark.createDataFrame([(" a\t",), ("\x00 \n",), ("",), (None,)], "v string")
     assert [r[0] for r in rows.select(T.clean(F.col("v"))).collect()] == ["a", None, None, None]

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -56,6 +57,19 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4_000_000) -> Iterator[None]:
+    """What is run inside hands rows to Python in batches of `most` bytes or one row (Spark's own limits are 64 MB and 10,000
+    rows), which the JVM and the worker each hold more than once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release() -> None:
     """Give memory that this worker no longer uses back to the system, for the tasks and the JVM beside it."""
     pa.default_memory_pool().release_unused()

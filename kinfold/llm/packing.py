@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import save, tidy, tidy_group
+from kinfold.llm.common import save, small_batches, tidy, tidy_group
 from kinfold.llm.tokens import encoder, text_runs
 
 CAPACITY = 2048
@@ -220,5 +220,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", end_id: int = 0, **how) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row."""
-    cut = save(pieces(docs, tokenizer, capacity, key, text, end_id), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = save(pieces(docs, tokenizer, capacity, key, text, end_id), "pieces")
     return cut.join(pack(cut, capacity, **how), "uid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -10,7 +10,9 @@ space at an end or with any but blanks and line feeds, and tokenizers of another
 from __future__ import annotations
 
 import json
+import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,11 @@ WHOLE = (
 )
 MOST_CACHED = 400_000
 CLOSING = frozenset(".,;:!?")
-#: Pieces that the library encodes as one text.
+#: Pieces that the library encodes as one text, and texts that it encodes in one call: what it returns takes a hundred bytes an id.
 JOINED = 200
+CALL = 100
+#: Bytes of text, or one text, that are split into pieces at once: the arrays on the way take many times as much.
+RUN = 2_000_000
 
 
 class Encoder:
@@ -31,6 +36,8 @@ class Encoder:
     with add_special_tokens=False; texts that hold an added token's string are encoded whole."""
 
     def __init__(self, path: str):
+        # a task has one core; each thread of the library would hold memory of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,7 +66,8 @@ class Encoder:
             self._add(["\n"], *self._joined(["\n"]))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        calls = (texts[a : a + CALL] for a in range(0, len(texts), CALL))
+        return [np.array(e.ids, self.dtype) for call in calls for e in self.tokenizer.encode_batch_fast(call, add_special_tokens=False)]
 
     def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids) of pieces, encoded as texts of many; a piece begins at each token that begins with its white
@@ -89,20 +97,28 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         cache, alone = self.cache, self.alone
-        closed = [p for p in pieces if p[-1] in alone and p[:-1].isalpha()]
         # closing punctuation after letters is a token of its own
-        rest = {p[:-1] for p in closed}.union(p for p in pieces if not (p[-1] in alone and p[:-1].isalpha()))
-        rest = [p for p in rest if p not in cache]
+        closed = [p for p in pieces if p[-1] in alone and p[:-1].isalpha()]
+        bare = [p[:-1] for p in closed]
+        rest = [p for p in set(bare).union(set(pieces).difference(closed) if closed else pieces) if p not in cache]
         if rest:
             self._add(rest, *self._joined(rest))
         if closed:
-            own, ends = self._gather(np.array([cache[p[:-1]] for p in closed], np.int64))
+            own, ends = self._gather(np.fromiter(map(cache.__getitem__, bare), np.int64, len(bare)))
             marks = np.array([alone[p[-1]] for p in closed], self.dtype)
             self._add(closed, np.insert(own, ends, marks), np.diff(ends, prepend=0) + 1)
 
     def encode_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last's end); null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ids, counts = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)]
+        for _, run in text_runs(pa.RecordBatch.from_arrays([texts.cast(pa.large_string())], ["text"]), most=RUN):
+            own, starts = self._encode_run(run.column(0))
+            ids.append(own)
+            counts.append(np.diff(starts))
+        return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+
+    def _encode_run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
         n = len(texts)
         whole = pc.match_substring_regex(texts, self.whole) if self.pieces else pa.array(np.ones(n, bool))
         odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
@@ -117,10 +133,12 @@ class Encoder:
         split = pc.split_pattern(marked, " ")
         coded = split.values.dictionary_encode()
         own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [p for p in own if p not in self.cache]
-        if new:
+        places = np.fromiter(map(self.cache.get, own, repeat(-1)), np.int64, len(own))
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            new = [own[i] for i in unknown.tolist()]
             self._learn(new)
-        places = np.fromiter(map(self.cache.__getitem__, own), np.int64, len(own))
+            places[unknown] = np.fromiter(map(self.cache.__getitem__, new), np.int64, len(new))
         ids, ends = self._gather(places[coded.indices.to_numpy()])
         starts = np.concatenate([[0], ends])[split.offsets.to_numpy()]
         keep = np.ones(len(ids), bool)

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinfold.llm import attribution, components, jaccard, mixing, packing, records, sketch, tokens
+from kinfold.llm import attribution, common, components, jaccard, mixing, packing, records, sketch, tokens
 from kinfold.llm.tokens import default_path, encoder, text_runs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,6 +104,53 @@ def test_encoder_on_slices():
     assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_cuts_long_columns(monkeypatch):
+    monkeypatch.setattr(tokens, "RUN", 300)
+    monkeypatch.setattr(tokens, "CALL", 3)
+    texts = made(3)
+    enc, lib = tokens.Encoder(default_path()), library()
+    assert [x.tolist() for x in enc.encode(texts)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [len(x) for x in enc.encode_arrow(pa.array([], pa.string()))] == [0, 1]
+
+
+MEMORY = """
+import re
+import numpy as np, pyarrow as pa
+from kinfold.llm.tokens import Encoder, default_path
+peak = lambda: int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1000
+enc, rng = Encoder(default_path()), np.random.default_rng(1)
+words = np.array(["".join(map(chr, w)) for w in rng.integers(97, 123, (250_000, 5))])
+texts = pa.array([" ".join(words[rng.integers(0, len(words), 500)]) for _ in range(4000)], pa.string())
+before = peak()
+ids, starts = enc.encode_arrow(texts)
+assert len(starts) == 4001 and starts[-1] == len(ids)
+print(peak() - before)
+"""
+
+
+def test_encoder_memory_is_bounded():
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    said = subprocess.run([sys.executable, "-c", MEMORY], env=env, capture_output=True, text=True, check=True).stdout
+    assert float(said) < 250, f"{said} MB for 12 MB of texts"
+
+
+def test_batches_for_the_encoder_are_small(spark, monkeypatch):
+    limit = lambda: spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    before, seen = limit(), {}
+    monkeypatch.setattr(packing, "save", lambda df, name, f=packing.save: (seen.setdefault(name, limit()), f(df, name))[1])
+    packing.pack_documents(frame(spark, made(4)), default_path())
+    assert int(seen["pieces"]) <= 4_000_000 and limit() == before
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]})
+
+    texts = spark.range(0, 3000, 1, 1).select(F.expr("repeat('x', 10000)").alias("text")).mapInArrow(sizes, "rows long, size long")
+    with common.small_batches(spark):
+        found = texts.collect()
+    assert sum(r["rows"] for r in found) == 3000 and max(r["size"] for r in found) < 5_000_000
+
+
 @pytest.mark.parametrize("most", [jaccard.MOST, 7])
 def test_jaccard_join(spark, most):
     texts = made(2)

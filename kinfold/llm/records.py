@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import filesystem, new_path, partitions, tidy
+from kinfold.llm.common import filesystem, new_path, partitions, small_batches, tidy
 from kinfold.llm.tokens import encoder, text_runs
 
 HEAD, TAIL, META = "<QI", "<I", "<BBBBqI"
@@ -125,7 +125,8 @@ def write(docs: DataFrame, path: str | None, tokenizer: str, key: str = "doc_id"
     n = partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     ordered = rows.repartitionByRange(n, "key", "tie").sortWithinPartitions("key", "tie", F.col("text").asc_nulls_first()).drop("tie")
-    found = ordered.mapInArrow(tidy(write_shards), "part long, turn long, shard string, index string, records long, ids long").collect()
+    with small_batches(spark):
+        found = ordered.mapInArrow(tidy(write_shards), "part long, turn long, shard string, index string, records long, ids long").collect()
     manifest, before = [], 0
     for r in sorted(found, key=lambda r: (r["part"], r["turn"])):
         manifest.append({**r.asDict(), "before": before})

@@ -151,6 +151,14 @@ def test_batches_for_the_encoder_are_small(spark, monkeypatch):
     assert sum(r["rows"] for r in found) == 3000 and max(r["size"] for r in found) < 5_000_000
 
 
+def test_records_are_written_from_small_batches(spark, monkeypatch):
+    limit = lambda: spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    before, seen = limit(), []
+    monkeypatch.setattr(records, "tidy", lambda f, g=records.tidy: (seen.append(limit()), g(f))[1])
+    manifest = records.write(frame(spark, made(5)), None, default_path())
+    assert int(seen[0]) <= 4_000_000 and limit() == before and sum(m["records"] for m in manifest) == len(made(5))
+
+
 @pytest.mark.parametrize("most", [jaccard.MOST, 7])
 def test_jaccard_join(spark, most):
     texts = made(2)

@@ -214,7 +214,7 @@ def block_candidates(spark, d):
 def hard_no_filter(spark, d):
     """All people with the candidates of their blocks."""
     hub = _hub(spark, d, "resolved")
-    pairs = probabilistic.paired(hub.staged, hub.staged, hub.links, hub.identities, CONFIG)
+    pairs = probabilistic.paired(hub.staged, hub.staged, hub.links, hub.identities)
     return pairs.select("stg_person_id", "identity_id", probabilistic.hard_no().cast("int").alias("barred"), probabilistic.gate().cast("int").alias("gate"))
 
 
@@ -344,15 +344,15 @@ def _norm(c: str) -> str:
     return f"nullif(trim(lower(regexp_replace({c}, '[.\\s]+', ' ', 'g'))), '')"
 
 
-def _probabilistic() -> str:
-    """Blocks, pairs, filters and scores as common tables after those of the resolution. Names that pass the gate are equal
-    here, where both similarities are 1."""
+def _probabilistic(cap: int | None = None) -> str:
+    """Blocks, pairs, filters and scores as common tables after those of the resolution, for blocks of any size or within a
+    cap. Names that pass the gate are equal here, where both similarities are 1."""
     w = CONFIG.weights
+    fits, join = ("", "") if cap is None else (f"\nfits AS (SELECT block FROM blk GROUP BY block HAVING count(*) <= {cap}),", " JOIN fits USING (block)")
     names = ", ".join(f"{_norm(f's.{c}_name')} AS p_{c}, {_norm(f'i.canonical_{c}')} AS i_{c}" for c in ("first", "middle", "last"))
     return _RES + f""",
-blk AS MATERIALIZED (SELECT stg_person_id, {_soundex("last_name")} || '|' || coalesce(left(CAST(date_of_birth AS STRING), 4), '____') AS block FROM stg WHERE last_name IS NOT NULL),
-fits AS (SELECT block FROM blk GROUP BY block HAVING count(*) <= {CONFIG.block_cap}),
-pairs AS MATERIALIZED (SELECT DISTINCT a.stg_person_id, l.identity_id FROM blk a JOIN fits USING (block) JOIN blk b ON b.block = a.block AND b.stg_person_id <> a.stg_person_id JOIN link l ON l.stg_person_id = b.stg_person_id),
+blk AS MATERIALIZED (SELECT stg_person_id, {_soundex("last_name")} || '|' || coalesce(left(CAST(date_of_birth AS STRING), 4), '____') AS block FROM stg WHERE last_name IS NOT NULL),{fits}
+pairs AS MATERIALIZED (SELECT DISTINCT a.stg_person_id, l.identity_id FROM blk a{join} JOIN blk b ON b.block = a.block AND b.stg_person_id <> a.stg_person_id JOIN link l ON l.stg_person_id = b.stg_person_id),
 sides AS MATERIALIZED (SELECT p.stg_person_id, p.identity_id, {names}, s.date_of_birth AS p_dob, i.canonical_dob AS i_dob, s.npi AS p_npi, i.npi AS i_npi,
   lower(concat_ws(' ', s.last_name, s.first_name)) AS p_name, lower(concat_ws(' ', i.canonical_last, i.canonical_first)) AS i_name
   FROM pairs p JOIN stg s ON s.stg_person_id = p.stg_person_id JOIN identity i ON i.identity_id = p.identity_id),
@@ -375,7 +375,7 @@ def _nested(name: str, rows: str, fields: dict[str, str]) -> str:
 
 
 _RES = _resolution()
-_PASS_B = _probabilistic()
+_PASS_B, _PASS_B_CAPPED = _probabilistic(), _probabilistic(CONFIG.block_cap)
 _FLAGGED = {f: f"coalesce(m.{f} = 1, false)" for f in ("is_ssn_match", "is_npi_match", "is_canonical_name_match", "is_license_number_match")}
 _NESTED = {
     "licenses": _nested("licenses", "rlicense", {"number": "license_number", "state": "certification_state", "board": "certification_board", "type": "license_type", "registry": "CAST(NULL AS STRING)", "verified": "false"}),
@@ -422,9 +422,9 @@ ORACLES: dict[str, str] = {
     "identity_search_page": _RES + ", n AS (SELECT identity_id, count(*) AS record_count FROM link GROUP BY identity_id) SELECT identity_id, record_count, canonical_first AS first_name, canonical_last AS last_name FROM identity JOIN n USING (identity_id) WHERE lower(trim(canonical_last)) = 'lie' OR identity_id IN (SELECT identity_id FROM aindex WHERE lower(trim(name)) = 'lie') ORDER BY record_count DESC, identity_id LIMIT 25",
     "search_omitted_fields": _RES + f" SELECT identity_id, CAST(coalesce(strlen(accounts), 2) > 4 AS INT) AS accounts_omitted, CAST(coalesce(strlen(accounts), 2) > 4 AS INT) AS accounts_null FROM identity LEFT JOIN {_NESTED['accounts']}",
     "profile_nested_json": _RES + f" SELECT identity_id, {', '.join(f"coalesce({c}, '[]') AS {c}" for c in _NESTED)} FROM identity" + "".join(f" LEFT JOIN {q}" for q in _NESTED.values()),
-    "block_candidates": _PASS_B + " SELECT * FROM pairs",
+    "block_candidates": _PASS_B_CAPPED + " SELECT * FROM pairs",
     "hard_no_filter": _PASS_B + " SELECT stg_person_id, identity_id, barred, gate FROM filters",
-    "score_bands": _PASS_B + f" SELECT stg_person_id, identity_id, score, CASE WHEN score >= {CONFIG.auto_merge_at} THEN 'auto_match' WHEN score >= {CONFIG.review_floor} THEN 'review' ELSE 'no_match' END AS band FROM scores",
+    "score_bands": _PASS_B_CAPPED + f" SELECT stg_person_id, identity_id, score, CASE WHEN score >= {CONFIG.auto_merge_at} THEN 'auto_match' WHEN score >= {CONFIG.review_floor} THEN 'review' ELSE 'no_match' END AS band FROM scores",
     "dedup_by_license": _RES.replace("WITH ", "WITH RECURSIVE ", 1)
     + ", lk AS MATERIALIZED (SELECT DISTINCT identity_id, struct_pack(n := license_number, s := certification_state, b := certification_board)::STRING AS k FROM rlicense), pair AS MATERIALIZED (SELECT DISTINCT a.identity_id AS a, b.identity_id AS b FROM lk a JOIN lk b ON a.k = b.k WHERE a.identity_id <> b.identity_id), reach AS (SELECT DISTINCT a, a AS b FROM pair UNION SELECT r.a, p.b FROM reach r JOIN pair p ON p.a = r.b) SELECT a AS loser, min(b) AS survivor FROM reach GROUP BY a HAVING a <> min(b)",
     "credential_search_best": _RES + f", q AS (SELECT *, row_number() OVER (PARTITION BY identity_id, registry ORDER BY date_resolved DESC NULLS LAST, credential_match_id DESC) AS r, count(*) OVER (PARTITION BY identity_id, registry) AS links FROM rcredential WHERE match_summary_status_code IN (20, 30, 40, 45, 65, 70, 80, 85, 90) AND (expiry_date IS NULL OR expiry_date >= DATE '{TODAY}')) SELECT identity_id, registry, credential_match_id, links, {_DOB.format('date_resolved')} FROM q WHERE r = 1",

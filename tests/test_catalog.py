@@ -176,3 +176,35 @@ def test_people_of_declined_blocks_are_not_dealt_by_block(spark, data):
     sizes = collections.Counter(r["block_key"] for r in rows)
     kept = sorted(r["stg_person_id"] for r in rows if r["block_key"] is not None and sizes[r["block_key"]] <= 9)
     assert sorted(r["stg_person_id"] for r in fit.collect()) == kept and 0 < len(kept) < len(rows)
+
+
+@pytest.fixture(scope="module")
+def crowd(data, tmp_path_factory):
+    """Tables of five customers with one surname and birth year: more of their orders are in one block than the cap has."""
+    folder, con = tmp_path_factory.mktemp("crowd"), duckdb.connect()
+    who = f"({[c for c in range(1, 200_000, 97) if c * 37 % 18_000 < 365][:5]})[1 + {{}} % 5]"
+    for t, new in (("orders", f"o_orderkey + k * 1500 AS o_orderkey, {who.format('o_orderkey')} AS o_custkey"), ("customer", f"{who.format('c_custkey')} AS c_custkey"), ("events", "event_id + k * 1000 AS event_id")):
+        of = f"SELECT x.* REPLACE ({new}) FROM '{data}/{t}.parquet' x, range({1 if t == 'customer' else 2}) r(k)"
+        con.execute(f"COPY ({of}{' WHERE c_custkey < 5' if t == 'customer' else ''}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{data}/lineitem.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["hard_no_filter"])
+@pytest.mark.parametrize("part", [2048, 50])
+def test_people_of_large_blocks_are_asked_for(spark, crowd, monkeypatch, name, part):
+    """All people of a block over the cap have their candidates, as in the SQL, each once however they are dealt."""
+    folder, con = crowd
+    monkeypatch.setattr(probabilistic, "PART", part)
+    blocks = collections.defaultdict(set)
+    for r in catalog._hub(spark, folder, "staged").staged.where("block_key IS NOT NULL").select("block_key", "stg_person_id").collect():
+        blocks[r[0]].add(r[1])
+    large = max(blocks.values(), key=len)
+    assert len(large) > catalog.CONFIG.block_cap
+    df = catalog.QUERIES[name](spark, folder)
+    found = con.execute(catalog.ORACLES[name])
+    names = [d[0] for d in found.description]
+    got = collections.Counter(tuple(r[c] for c in names) for r in df.collect())
+    assert got == collections.Counter(found.fetchall())
+    assert large <= {r[names.index("stg_person_id")] for r in got}

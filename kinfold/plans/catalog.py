@@ -221,7 +221,7 @@ def hard_no_filter(spark, d):
 def score_bands(spark, d):
     hub, source = _matched(spark, d), synthetic.OrdersConnector(spark, d)
     exclusions = rollup.exclusions(source.exclusions(), source.exclusion_records(), hub.links)
-    pairs = probabilistic.passed(hub.staged, hub.staged, hub.links, hub.identities, enrich.places(hub.staged, hub.links), exclusions, CONFIG)
+    pairs = probabilistic.passed(hub.staged, hub.staged, hub.links, hub.identities, enrich.places(hub.staged, hub.links), exclusions)
     value = probabilistic.score(CONFIG)
     return pairs.select("stg_person_id", "identity_id", value.alias("score"), probabilistic.band(value, CONFIG).alias("band"))
 
@@ -424,7 +424,7 @@ ORACLES: dict[str, str] = {
     "profile_nested_json": _RES + f" SELECT identity_id, {', '.join(f"coalesce({c}, '[]') AS {c}" for c in _NESTED)} FROM identity" + "".join(f" LEFT JOIN {q}" for q in _NESTED.values()),
     "block_candidates": _PASS_B_CAPPED + " SELECT * FROM pairs",
     "hard_no_filter": _PASS_B + " SELECT stg_person_id, identity_id, barred, gate FROM filters",
-    "score_bands": _PASS_B_CAPPED + f" SELECT stg_person_id, identity_id, score, CASE WHEN score >= {CONFIG.auto_merge_at} THEN 'auto_match' WHEN score >= {CONFIG.review_floor} THEN 'review' ELSE 'no_match' END AS band FROM scores",
+    "score_bands": _PASS_B + f" SELECT stg_person_id, identity_id, score, CASE WHEN score >= {CONFIG.auto_merge_at} THEN 'auto_match' WHEN score >= {CONFIG.review_floor} THEN 'review' ELSE 'no_match' END AS band FROM scores",
     "dedup_by_license": _RES.replace("WITH ", "WITH RECURSIVE ", 1)
     + ", lk AS MATERIALIZED (SELECT DISTINCT identity_id, struct_pack(n := license_number, s := certification_state, b := certification_board)::STRING AS k FROM rlicense), pair AS MATERIALIZED (SELECT DISTINCT a.identity_id AS a, b.identity_id AS b FROM lk a JOIN lk b ON a.k = b.k WHERE a.identity_id <> b.identity_id), reach AS (SELECT DISTINCT a, a AS b FROM pair UNION SELECT r.a, p.b FROM reach r JOIN pair p ON p.a = r.b) SELECT a AS loser, min(b) AS survivor FROM reach GROUP BY a HAVING a <> min(b)",
     "credential_search_best": _RES + f", q AS (SELECT *, row_number() OVER (PARTITION BY identity_id, registry ORDER BY date_resolved DESC NULLS LAST, credential_match_id DESC) AS r, count(*) OVER (PARTITION BY identity_id, registry) AS links FROM rcredential WHERE match_summary_status_code IN (20, 30, 40, 45, 65, 70, 80, 85, 90) AND (expiry_date IS NULL OR expiry_date >= DATE '{TODAY}')) SELECT identity_id, registry, credential_match_id, links, {_DOB.format('date_resolved')} FROM q WHERE r = 1",

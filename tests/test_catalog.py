@@ -191,7 +191,7 @@ def crowd(data, tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["hard_no_filter"])
+@pytest.mark.parametrize("name", ["hard_no_filter", "score_bands"])
 @pytest.mark.parametrize("part", [2048, 50])
 def test_people_of_large_blocks_are_asked_for(spark, crowd, monkeypatch, name, part):
     """All people of a block over the cap have their candidates, as in the SQL, each once however they are dealt."""
